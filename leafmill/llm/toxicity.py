@@ -17,7 +17,7 @@ from .labelled import held_out, sample
 from .common import small_batches, table, texts
 
 #: Labelled rows that are looked at, at most, and the characters of the longest.
-TRAIN_ROWS = 5000
+TRAIN_ROWS = 8000
 TRAIN_CHARS = 20_000
 #: Weights of hashed word features.
 BUCKETS = 1 << 18
@@ -93,52 +93,71 @@ class Tagger:
         return sigmoid(self.document_features(p, docs, len(batch)) @ self.scale), p, docs
 
 
-def toxic_types(rows: list[tuple[list[list[str]], int]]) -> set[str]:
-    """Words, and beginnings of words, that hardly any but toxic texts hold: tokens of them are labelled toxic."""
+def toxic_types(docs: list[set[str]], labels: list[int]) -> set[str]:
+    """Words, and beginnings of words, that hardly any but toxic texts hold: tokens of them are labelled toxic.
+
+    A type has to be in so many toxic texts that, among all types, chance would hardly bring one about.
+    """
     counts = [Counter(), Counter()]
-    for doc, y in rows:
+    for words, y in zip(docs, labels, strict=True):
         types = set()
-        for w in {t.strip(_EDGES) for line in doc for t in line}:
+        for w in words:
             types |= {"w" + w, "5" + w[:5], "4" + w[:4]} if len(w) > 4 else {"w" + w}
         counts[y].update(types)
-    share = max(sum(y for _, y in rows), 1) / max(len(rows), 1)
-    surprise = -np.log(min(share, 0.5))
-    return {t for t, n in counts[1].items() if n >= 4 and n >= 0.85 * (n + counts[0][t]) and (n - 3 * counts[0][t]) * surprise >= 10}
+    share = min(max(sum(labels), 1) / max(len(labels), 1), 0.5)
+    least = np.log(max(len(counts[1]), 1)) + 2
+    return {t for t, n in counts[1].items() if n >= 4 and n >= 0.85 * (n + counts[0][t]) and (n - 3 * counts[0][t]) * -np.log(share) >= least}
 
 
 def train(rows: list[tuple[str, int]]) -> Tagger:
-    """Labels tokens of labelled texts, fits the chain on them and the document's score on its marginals."""
-    data = [(tokens(text), y) for text, y in rows]
-    types = toxic_types(data)
-    lines = [line for doc, _ in data for line in doc if line]
-    words = [w for line in lines for w in line]
-    vocabulary = {w: i for i, w in enumerate(dict.fromkeys(words))}
-    of = np.array([vocabulary[w] for w in words], np.int64)
+    """Labels tokens of labelled texts, fits the chain on them and the document's score on its marginals.
+
+    The chain is fitted on the toxic texts of ``rows`` and twice as many others, the score on all.
+    """
+    vocabulary: dict[str, int] = {}
+    ids, sizes, labels, sets = [], [], [y for _, y in rows], []
+    for text, _ in rows:
+        lines = [line for line in tokens(text) if line]
+        ids.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for line in lines for w in line], np.int64))
+        sizes.append([len(line) for line in lines])
+        sets.append({w.strip(_EDGES) for line in lines for w in line})
+    types = toxic_types(sets, labels)
+    del sets
+    bad = np.array([bool({"w" + w, "5" + w[:5], "4" + w[:4]} & types) for w in (t.strip(_EDGES) for t in vocabulary)], bool)
     feats = [word_features(w) for w in vocabulary]
     flat = np.array([f for x in feats for f in x], np.int64)
     owner = np.repeat(np.arange(len(feats)), [len(x) for x in feats])
-    bad = np.array([bool({"w" + w, "5" + w[:5], "4" + w[:4]} & types) for w in (t.strip(_EDGES) for t in vocabulary)], bool)
-    toxic_doc = np.repeat([y for _, y in data], [sum(map(len, d)) for d, _ in data]) if data else np.zeros(0)
-    y = (bad[of] & (toxic_doc > 0)).astype(float) if len(of) else np.zeros(0)
-    starts, lengths = chains(lines)
     model = Tagger(np.zeros(BUCKETS + 1), Chain(), np.array([-4.0, 1.0, 0.0]))
+    model.weights[-1] = -4.0
+
+    def lay(chosen):
+        of = np.concatenate([ids[i] for i in chosen] or [np.zeros(0, np.int64)])
+        starts, lengths = chains([range(n) for i in chosen for n in sizes[i]])
+        return of, starts, lengths, np.repeat(np.arange(len(chosen)), [len(ids[i]) for i in chosen])
+
+    toxic = [i for i, y in enumerate(labels) if y]
+    clean = [i for i, y in enumerate(labels) if not y][: 2 * len(toxic)]
+    of, starts, lengths, doc = lay(toxic + clean)
+    y = (bad[of] & (doc < len(toxic))).astype(float)
     if y.sum() == 0:  # nothing to learn from: nothing is toxic
         model.weights[-1] = -12.0
         return model
-    model.weights[-1] = -4.0
 
-    def evidence(w):
-        return (np.bincount(owner, w[flat], minlength=len(feats)) + w[-1])[of]
+    def by_word(w):
+        return np.bincount(owner, w[flat], minlength=len(feats)) + w[-1]
 
     def back(g):
-        by_word = np.bincount(of, g, minlength=len(feats))
-        return np.append(np.bincount(flat, by_word[owner], minlength=BUCKETS), g.sum())
+        grad = np.bincount(of, g, minlength=len(feats))
+        return np.append(np.bincount(flat, grad[owner], minlength=BUCKETS), g.sum())
 
     weight = np.where(y > 0, min(20.0, 0.1 * len(y) / y.sum()), 1.0)
-    model.weights = fit(model.chain, model.weights, evidence, back, starts, lengths, y, weight, steps=50, rate=0.3, ridge=1e-4)
-    docs = np.repeat(np.arange(len(data)), [sum(map(len, d)) for d, _ in data])
-    p = model.chain.marginals(evidence(model.weights), starts, lengths)
-    model.scale = logistic(model.document_features(p, docs, len(data)), np.array([y for _, y in data], float))
+    model.weights = fit(model.chain, model.weights, lambda w: by_word(w)[of], back, starts, lengths, y, weight, steps=40, rate=0.3, ridge=1e-4)
+    evidence, summaries = by_word(model.weights), []
+    for at in range(0, len(rows), 1000):
+        chosen = list(range(at, min(len(rows), at + 1000)))
+        of_, starts_, lengths_, doc_ = lay(chosen)
+        summaries.append(model.document_features(model.chain.marginals(evidence[of_], starts_, lengths_), doc_, len(chosen)))
+    model.scale = logistic(np.concatenate(summaries), np.array(labels, float))
     return model
 
 
