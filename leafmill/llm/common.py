@@ -26,20 +26,30 @@ def scratch_root(spark: SparkSession) -> str:
     return _own_root[app]
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` as Parquet into the shared folder and reads it back: lineage ends at replicated storage."""
+def store(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """Writes ``df`` as Parquet into the shared folder; what reads it back, and where it is."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/leafmill-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _scratch.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """``store`` for a scratch table: lineage ends at shared storage, and ``clear_scratch`` deletes it."""
+    back, path = store(df, label)
+    _scratch.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
+    return back
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
 def clear_scratch(spark: SparkSession) -> None:
     """Deletes the scratch tables of this application; call it only once what was built on them is stored."""
     for path in _scratch.pop(spark.sparkContext.applicationId, []):
-        hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+        delete(spark, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +61,30 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+def text_hash(text_col: str = "text") -> F.Column:
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, twice: DataFrame, bound: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` but for the rows in ``gone``, and with those in ``twice`` once; both name rows by ``doc_id, th``.
+
+    All columns are kept. The side that names rows is broadcast up to ``bound`` rows (16 bytes each).
+    """
+    named = docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__th", text_hash(text_col))
+
+    def side(df: DataFrame) -> DataFrame:
+        df = df.select(F.col("doc_id").alias("__i"), F.col("th").alias("__h")).distinct()
+        return F.broadcast(df) if df.count() <= bound else df
+
+    on = F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__th") == F.col("__h"))
+    left = named.join(side(gone), on, "left_anti")
+    if twice.limit(1).count():
+        again = side(twice)
+        once = left.join(again, on, "left_semi").dropDuplicates(["__id", "__th"])
+        left = left.join(again, on, "left_anti").unionByName(once)
+    return left.select(docs.columns)
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Arrow batches hold whole texts, so a batch is kept to a few hundred of them."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -150,6 +150,24 @@ def exact_groups(docs: DataFrame, in_snapshot, id_col: str = "doc_id", text_col:
     return out.select("doc_id", F.when(single, F.col("doc_id")).otherwise(F.col("keep")).alias("keep_id"), F.coalesce("size", F.lit(1)).cast("long").alias("group_size"), F.when(single, F.lit(True)).otherwise(F.col("doc_id").eqNullSafe(F.col("keep"))).alias("kept"), F.col("sha").alias("text_sha256"), "n_chars")
 
 
+def keep_first(docs: DataFrame, in_snapshot, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with all columns, and one row of each of ``exact_groups``: the row that stays.
+
+    Of repeated rows that all might stay, the longest text, then the greatest, is kept.
+    """
+    groups = exact_groups(docs, in_snapshot, id_col, text_col).where("group_size > 1")
+    groups = materialise(groups.groupBy("text_sha256").agg(F.min("keep_id").alias("__keep")), "groups").withColumn("__group", F.lit(True))
+    if groups.count() <= BROADCAST_DIGESTS:
+        groups = F.broadcast(groups)
+    named = docs.withColumn("__sha", F.sha2(normalised(F.col(text_col)), 256))
+    named = named.join(groups, named["__sha"] == groups["text_sha256"], "left").drop("text_sha256")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    several = named.where(F.col("__group") & F.col(id_col).cast("long").eqNullSafe(F.col("__keep")))
+    several = several.groupBy("__sha").agg(F.max_by(whole, F.struct(F.length(text), text)).alias("__row")).select("__row.*")
+    return named.where("__group is null").select(docs.columns).unionByName(several)
+
+
 def default_snapshot(id_col: str = "doc_id"):
     """Half of the rows by a checksum of their id stand for the snapshot; the result is the same for any split."""
     return F.crc32(F.col(id_col).cast("string")) % 2 == 0

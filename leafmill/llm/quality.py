@@ -152,6 +152,19 @@ def score_documents(docs: DataFrame, model: LineTagger, id_col: str = "doc_id",
     return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double" + ", line_good array<double>" * lines)
 
 
+def filter_documents(docs: DataFrame, model: LineTagger, least: float, text_col: str = "text") -> DataFrame:
+    """``docs`` with all columns, without the rows whose score is below ``least``."""
+    small_batches(docs.sparkSession, 1024)
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                score, _, _ = model.score([t or "" for t in b.column(b.schema.get_field_index(text_col)).to_pylist()])
+                yield b.filter(pa.array(score >= least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def learn(spark: SparkSession, docs: DataFrame, sf_dir: str) -> LineTagger:
     return train(sample(docs, table(spark, sf_dir, "labels"), "quality", 3, 1, TRAIN_ROWS, TRAIN_CHARS))
 

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, materialise, small_batches, table, texts
+from .common import components, materialise, small_batches, table, texts, without_rows
 
 #: Node pairs of a trie frontier that are held at once.
 FRONTIER = 400_000
@@ -39,15 +39,15 @@ def fingerprint(text: str, words: int, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fp`` (the fingerprint as a signed long) of every row; a text without words has fingerprint zero."""
+    """``doc_id, th, fp`` (the text's hash, the fingerprint as a signed long) of every row; without words it is zero."""
     small_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:
             fp = np.array([fingerprint(t, words) for t in b.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(fp.view(np.int64))], ["doc_id", "th", "fp"])
 
-    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    return texts(docs, id_col, text_col).withColumn("th", F.xxhash64("text")).mapInArrow(run, "doc_id long, th long, fp long")
 
 
 def _absorb(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -190,7 +190,7 @@ def near_links(fps: DataFrame, budget: int = 3) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, words: int = 5, budget: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fp, component_id`` of every row: the least ``doc_id`` that links of fingerprints reach.
+    """``doc_id, th, fp, component_id, root`` of every row: the least ``doc_id`` that links of fingerprints reach.
 
     A null or empty text has fingerprint zero and links like any other. Rows of one fingerprint are linked, repeated
     rows among them; a null ``doc_id`` is the component's id only if all its ids are null. Empty in, empty out.
@@ -201,8 +201,18 @@ def near_groups(docs: DataFrame, words: int = 5, budget: int = 3, id_col: str =
     rooted = least.join(roots, least.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     rooted = materialise(rooted, "rooted")
     ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(ids, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = rooted.join(ids, "root").select("fp", "component_id", "root")
+    return rows.join(named, "fp").select("doc_id", "th", "fp", "component_id", "root")
+
+
+def keep_first(docs: DataFrame, words: int = 5, budget: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with all columns, and one row of each component: that of least id, then of least text hash."""
+    rows = materialise(near_groups(docs, words, budget, id_col, text_col), "near")
+    mark = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("doc_id"), F.col("th").alias("th"))
+    first = rows.groupBy("root").agg(F.min(mark).alias("f"), F.count("*").alias("n")).where("n > 1")
+    rest = rows.join(first, "root").where(~(F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("th") == F.col("f.th"))))
+    twice = rows.groupBy("doc_id", "th").agg(F.count("*").alias("n")).where("n > 1")
+    return without_rows(docs, materialise(rest.select("doc_id", "th"), "gone"), twice, 500_000, id_col, text_col)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

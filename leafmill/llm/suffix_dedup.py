@@ -382,5 +382,27 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     return rows.select("doc_id", "text", "__spans").mapInArrow(run, f"doc_id long, n_bytes long, n_removed long, n_spans long, {tail}")
 
 
+def rewrite(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_chars") -> DataFrame:
+    """``docs`` with all columns and the repeated strings cut out of the texts; ``count_col``, if any, follows.
+
+    Bytes of a character that is cut in the middle go with the cut. A null text stays null.
+    """
+    rows = _with_spans(docs, repeated_spans(docs, length, id_col, text_col), id_col, text_col)
+
+    def run(batches):
+        for b in batches:
+            at = b.schema.get_field_index(text_col)
+            spans = b.column(b.schema.get_field_index("__spans")).to_pylist()
+            text = [t if not s else _kept(t.encode("utf-8", "surrogatepass"), s)[0].decode("utf-8", "ignore") for t, s in zip(b.column(at).to_pylist(), spans, strict=True)]
+            b = b.set_column(at, b.schema.field(at), pa.array(text, b.schema.field(at).type))
+            yield b.drop_columns(["__spans"])
+
+    out = rows.select(*[F.col(f"`{c}`") for c in docs.columns], "__spans").mapInArrow(run, docs.schema)
+    if count_col in docs.columns:
+        kind = docs.schema[count_col].dataType
+        out = out.withColumn(count_col, F.when(F.col(text_col).isNull(), F.col(count_col)).otherwise(F.length(text_col)).cast(kind))
+    return out
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), digest_only=True)
