@@ -184,9 +184,9 @@ def q13(spark, d):
     return w.select("doc_id", "page", "pos", *boxes).select("doc_id", "page", "pos", *[F.round(k, 6).alias(k) for k in ("x0", "top", "x1", "bottom")])
 
 
-@query("q14_word_boxes", duck("SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, CAST(j - 1 AS INTEGER) AS word_no, round(length(array_to_string(ws[1 : j - 1], '')) / length(array_to_string(ws, '')), 6) AS x0, round(length(array_to_string(ws[1 : j], '')) / length(array_to_string(ws, '')), 6) AS x1 FROM (SELECT doc_id, line_no, list_filter(regexp_split_to_array(line, '\\s+'), lambda w: w <> '') AS ws FROM lines), unnest(range(1, len(ws) + 1)) AS u(j)", "lines"))
+@query("q14_word_boxes", duck("SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, CAST(j - 1 AS INTEGER) AS word_no, CAST(floor(1e6 * (length(array_to_string(ws[1 : j - 1], '')) / length(array_to_string(ws, '')))) AS BIGINT) AS x0, CAST(floor(1e6 * (length(array_to_string(ws[1 : j], '')) / length(array_to_string(ws, '')))) AS BIGINT) AS x1 FROM (SELECT doc_id, line_no, list_filter(regexp_split_to_array(line, '\\s+'), lambda w: w <> '') AS ws FROM lines), unnest(range(1, len(ws) + 1)) AS u(j)", "lines"))
 def q14(spark, d):
-    return layout.proportional_boxes(inputs.lines(spark, d)).select("doc_id", "line_no", "word_no", F.round("x0", 6).alias("x0"), F.round("x1", 6).alias("x1"))
+    return layout.proportional_boxes(inputs.lines(spark, d)).select("doc_id", "line_no", "word_no", F.floor(1e6 * F.col("x0")).alias("x0"), F.floor(1e6 * F.col("x1")).alias("x1"))
 
 
 @query("q15_merged_boxes", duck("""SELECT doc_id, page, min(x0) AS x0, min(top) AS top, max(x1) AS x1, max(bottom) AS bottom FROM (
@@ -328,7 +328,7 @@ def q27b(spark, d):
     return inputs.calls(spark, d).join(boxes, ["conv_id", "turn"], "left").select("conv_id", "turn", "box_page")
 
 
-@query("q28_costs", duck("SELECT model_no, round(input * ir / 1e6, 9) AS cost_input, round(llm_pages * mr, 9) AS cost_image, round(output * orr / 1e6, 9) AS cost_output, round(input * ir / 1e6 + llm_pages * mr + output * orr / 1e6, 9) AS cost_total FROM (SELECT model_no, coalesce(sum(input) FILTER (parser = 'LLM_PARSE'), 0) AS input, coalesce(sum(output) FILTER (parser = 'LLM_PARSE'), 0) AS output, count(*) FILTER (parser = 'LLM_PARSE') AS llm_pages FROM calls GROUP BY model_no) LEFT JOIN (VALUES (0, 0.1, 0.4, 0.001), (1, 1.25, 10.0, 0.002), (2, 3.0, 15.0, 0.0)) r(model_no, ir, orr, mr) USING (model_no)", "calls"))
+@query("q28_costs", duck("SELECT model_no, round(input * ir / 1e6, 9) AS cost_input, round(llm_pages * CAST(mr AS DOUBLE), 9) AS cost_image, round(output * orr / 1e6, 9) AS cost_output, round(input * ir / 1e6 + llm_pages * mr + output * orr / 1e6, 9) AS cost_total FROM (SELECT model_no, coalesce(sum(input) FILTER (parser = 'LLM_PARSE'), 0) AS input, coalesce(sum(output) FILTER (parser = 'LLM_PARSE'), 0) AS output, count(*) FILTER (parser = 'LLM_PARSE') AS llm_pages FROM calls GROUP BY model_no) LEFT JOIN (VALUES (0, 1e-1, 4e-1, 1e-3), (1, 125e-2, 1e1, 2e-3), (2, 3e0, 15e0, 0e0)) r(model_no, ir, orr, mr) USING (model_no)", "calls"))
 def q28(spark, d):
     rates = spark.createDataFrame([(0, 0.1, 0.4, 0.001), (1, 1.25, 10.0, 0.002), (2, 3.0, 15.0, 0.0)], "model_no long, input_rate double, output_rate double, image_rate double")
     got = usage.cost(usage.document_usage(inputs.calls(spark, d), "model_no"), rates, "model_no")
