@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
+from array import array
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -17,7 +17,7 @@ from .labelled import held_out, sample
 from .common import small_batches, table, texts
 
 #: Labelled rows that are looked at, at most, and the characters of the longest.
-TRAIN_ROWS = 8000
+TRAIN_ROWS = 6000
 TRAIN_CHARS = 20_000
 #: Weights of hashed word features.
 BUCKETS = 1 << 18
@@ -93,20 +93,24 @@ class Tagger:
         return sigmoid(self.document_features(p, docs, len(batch)) @ self.scale), p, docs
 
 
-def toxic_types(docs: list[set[str]], labels: list[int]) -> set[str]:
-    """Words, and beginnings of words, that hardly any but toxic texts hold: tokens of them are labelled toxic.
+def token_types(token: str) -> tuple[str, str, str]:
+    """A token's word and two beginnings of it; a short word stands for its beginnings too."""
+    w = token.strip(_EDGES)
+    return ("w" + w, "5" + w[:5], "4" + w[:4]) if len(w) > 4 else ("w" + w,) * 3
+
+
+def toxic_types(types_of: np.ndarray, docs: list[np.ndarray], labels: list[int], n_types: int) -> np.ndarray:
+    """Flags of types that hardly any but toxic texts hold: tokens of them are labelled toxic.
 
     A type has to be in so many toxic texts that, among all types, chance would hardly bring one about.
     """
-    counts = [Counter(), Counter()]
-    for words, y in zip(docs, labels, strict=True):
-        types = set()
-        for w in words:
-            types |= {"w" + w, "5" + w[:5], "4" + w[:4]} if len(w) > 4 else {"w" + w}
-        counts[y].update(types)
+    counts = np.zeros((2, n_types), np.int64)
+    for ids, y in zip(docs, labels, strict=True):
+        counts[y, np.unique(types_of[np.unique(ids)])] += 1
+    clean, toxic = counts
     share = min(max(sum(labels), 1) / max(len(labels), 1), 0.5)
-    least = np.log(max(len(counts[1]), 1)) + 2
-    return {t for t, n in counts[1].items() if n >= 4 and n >= 0.85 * (n + counts[0][t]) and (n - 3 * counts[0][t]) * -np.log(share) >= least}
+    least = np.log(max(int((toxic > 0).sum()), 1)) + 2
+    return (toxic >= 4) & (toxic >= 0.85 * (toxic + clean)) & ((toxic - 3 * clean) * -np.log(share) >= least)
 
 
 def train(rows: list[tuple[str, int]]) -> Tagger:
@@ -115,23 +119,28 @@ def train(rows: list[tuple[str, int]]) -> Tagger:
     The chain is fitted on the toxic texts of ``rows`` and twice as many others, the score on all.
     """
     vocabulary: dict[str, int] = {}
-    ids, sizes, labels, sets = [], [], [y for _, y in rows], []
+    ids, sizes, labels = [], [], [y for _, y in rows]
     for text, _ in rows:
         lines = [line for line in tokens(text) if line]
-        ids.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for line in lines for w in line], np.int64))
+        ids.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for line in lines for w in line], np.int32))
         sizes.append([len(line) for line in lines])
-        sets.append({w.strip(_EDGES) for line in lines for w in line})
-    types = toxic_types(sets, labels)
-    del sets
-    bad = np.array([bool({"w" + w, "5" + w[:5], "4" + w[:4]} & types) for w in (t.strip(_EDGES) for t in vocabulary)], bool)
-    feats = [word_features(w) for w in vocabulary]
-    flat = np.array([f for x in feats for f in x], np.int64)
-    owner = np.repeat(np.arange(len(feats)), [len(x) for x in feats])
+    types: dict[str, int] = {}
+    types_of = np.array([[types.setdefault(t, len(types)) for t in token_types(w)] for w in vocabulary], np.int32).reshape(len(vocabulary), 3)
+    toxic_type = toxic_types(types_of, ids, labels, len(types))
+    del types
+    bad = toxic_type[types_of].any(1) if len(types_of) else np.zeros(0, bool)
+    at, owned = array("i"), array("i")
+    for i, w in enumerate(vocabulary):
+        found = word_features(w)
+        at.extend(found)
+        owned.extend([i] * len(found))
+    flat, owner, n_words = np.array(at, np.int32), np.array(owned, np.int32), len(vocabulary)
+    del vocabulary, at, owned
     model = Tagger(np.zeros(BUCKETS + 1), Chain(), np.array([-4.0, 1.0, 0.0]))
     model.weights[-1] = -4.0
 
     def lay(chosen):
-        of = np.concatenate([ids[i] for i in chosen] or [np.zeros(0, np.int64)])
+        of = np.concatenate([ids[i] for i in chosen] or [np.zeros(0, np.int32)])
         starts, lengths = chains([range(n) for i in chosen for n in sizes[i]])
         return of, starts, lengths, np.repeat(np.arange(len(chosen)), [len(ids[i]) for i in chosen])
 
@@ -144,10 +153,10 @@ def train(rows: list[tuple[str, int]]) -> Tagger:
         return model
 
     def by_word(w):
-        return np.bincount(owner, w[flat], minlength=len(feats)) + w[-1]
+        return np.bincount(owner, w[flat], minlength=n_words) + w[-1]
 
     def back(g):
-        grad = np.bincount(of, g, minlength=len(feats))
+        grad = np.bincount(of, g, minlength=n_words)
         return np.append(np.bincount(flat, grad[owner], minlength=BUCKETS), g.sum())
 
     weight = np.where(y > 0, min(20.0, 0.1 * len(y) / y.sum()), 1.0)
