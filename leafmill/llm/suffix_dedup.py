@@ -329,8 +329,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     contexts = contexts.repartition("key").sortWithinPartitions("key", "dig")
     found = materialise(contexts.mapInArrow(_merged(length), "key long, dig long, ranges array<struct<a:int,b:int>>"), "ranges")
 
-    whole = again.where("alone").select("doc_id", "th", F.col("lo").alias("a"), (F.col("lo") + F.col("n") - 1 + length).alias("b"))
-    part = again.where("not alone").join(_small(found, found.count()), ["key", "dig"]).select("doc_id", "th", "lo", F.explode("ranges").alias("r"))
+    # A context that stands in two places or alone in a repeated key is repeated as a whole, and so are its runs. What
+    # stands once has one run, the representative itself: its ranges say what is repeated.
+    once = reps.where("weight = 1")
+    whole = again.join(_small(once.select("key", "dig"), reps.count()), ["key", "dig"], "left_anti")
+    whole = whole.select("doc_id", "th", F.col("lo").alias("a"), (F.col("lo") + F.col("n") - 1 + length).alias("b"))
+    part = once.join(_small(found, reps.count()), ["key", "dig"]).select("doc_id", "th", "lo", F.explode("ranges").alias("r"))
     part = part.select("doc_id", "th", (F.col("lo") + F.col("r.a")).alias("a"), (F.col("lo") + F.col("r.b") - 1 + length).alias("b"))
     each = whole.union(part).distinct().groupBy("doc_id", "th").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("s"))
     typed = "array<struct<a:int,b:int>>"
