@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -76,8 +77,11 @@ def window_runs(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, lengt
 CHUNK = 400_000
 SLICE = 8_000_000
 #: Bytes of contexts in a shard, and about so many in a batch of whole keys.
-SHARD = 1_000_000
-BATCH = 6_000_000
+SHARD = 500_000
+BATCH = 1_500_000
+#: A key whose different contexts have more windows than this is dealt out again, by runs of at most so many windows.
+HOT_WINDOWS = 250_000
+WIDTHS = (32, 4, 1)
 #: Rows up to which the smaller side of a join with the texts is broadcast (a few dozen bytes each).
 BROADCAST_ROWS = 1_000_000
 
@@ -247,6 +251,48 @@ def _runs(length: int):
     return run
 
 
+def narrowed(context: bytes, n: int, key: int, width: int, length: int = LENGTH, k: int = GRAM):
+    """A context's ``n`` windows in runs of ``width`` at most: ``(key, first, windows)`` each.
+
+    Windows of a key all hold its gram of least hash, and equal windows hold it at one offset. Runs are cut where that
+    offset passes a multiple of ``width``; the bytes that every window of such offsets covers stand at fixed places
+    around the gram, and their hash is the new key. So equal windows meet again, and at ``width`` 1 none else do.
+    """
+    h = gram_hashes(np.frombuffer(context[:length], np.uint8), k)[: length - k + 1]
+    p = int(np.argmin(h & ~_POS))
+    out, first = [], 0
+    while first < n:
+        low = (p - first) // width * width
+        last = min(p - low, n - 1)
+        core = context[p - low : p - low - width + 1 + length]
+        out.append((xxhash.xxh3_64_intdigest(core, (key ^ low * _BASE) & 0xFFFFFFFFFFFFFFFF), first, last - first + 1))
+        first = last + 1
+    return out
+
+
+def _narrow(width: int, length: int):
+    """Texts with requests (key, dig, weight, lo, n) -> the requests' runs of ``width`` windows."""
+
+    def run(batches):
+        for b in batches:
+            rows, key, dig, lo, n, weight = [], [], [], [], [], []
+            for i, (blob, wanted) in enumerate(zip(_utf8(b.column("text").to_pylist()), b.column("wanted").to_pylist(), strict=True)):
+                for w in wanted:
+                    context = blob[w["lo"] : w["lo"] + w["n"] - 1 + length]
+                    for new, first, count in narrowed(context, w["n"], w["key"], width, length):
+                        rows.append(i)
+                        key.append(new)
+                        dig.append(xxhash.xxh3_64_intdigest(context[first : first + count - 1 + length]))
+                        lo.append(w["lo"] + first)
+                        n.append(count)
+                        weight.append(w["weight"])
+            row = pa.array(rows, pa.int64())
+            longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (key, dig)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(row), b.column("th").take(row), *longs, pa.array(lo, pa.int32()), pa.array(n, pa.int32()), pa.array(weight, pa.int64())], ["doc_id", "th", "key", "dig", "lo", "n", "weight"])
+
+    return run
+
+
 def _cut_contexts(length: int):
     """Texts with requests (key, dig, weight, lo, n) -> a row with the bytes of each requested context."""
 
@@ -310,36 +356,65 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     stand; keys seen once are done. Runs of windows with equal contexts are collapsed into one with a weight, which
     settles keys with a single context. The contexts of the other keys are gathered by key into shards, each shard's
     transform is built, and the shards' transforms are merged by interleave refinement: an interval of suffixes
-    whose common prefixes reach ``length`` and whose weights sum to two or more is a repeated string.
+    whose common prefixes reach ``length`` and whose weights sum to two or more is a repeated string. A key with more
+    than ``HOT_WINDOWS`` windows of different contexts never gathers in a task: its contexts are dealt out again by
+    shorter runs and longer shared content (``narrowed``), down to single windows, which collapse.
     """
     spark = docs.sparkSession
     small_batches(spark, 1024)
     base = _base(docs, id_col, text_col)
     runs = materialise(base.mapInArrow(_runs(length), "doc_id long, th long, key long, dig long, lo int, n int"), "runs")
-    keys = runs.groupBy("key").agg(F.count("*").alias("c"), (F.min("dig") == F.max("dig")).alias("alone")).where("c > 1").select("key", "alone")
+    runs, ranges = runs.withColumn("weight", F.lit(1).cast("long")), []
+    for width in (*WIDTHS, None):
+        found, hot = _settle(base, runs, length)
+        ranges += found
+        if hot is None:
+            break
+        # At a width of 1 contexts with one key are equal, so no key is hot; a loop that goes on would be a fault.
+        if width is None:
+            raise RuntimeError("different windows share a 64-bit key")
+        pieces = _asked(base, hot, hot.count()).mapInArrow(_narrow(width, length), "doc_id long, th long, key long, dig long, lo int, n int, weight long")
+        runs = materialise(pieces, "narrow")
+    each = reduce(DataFrame.union, ranges).distinct().groupBy("doc_id", "th").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("s"))
+    typed = "array<struct<a:int,b:int>>"
+    joined = F.aggregate("s", F.array().cast(typed), lambda acc, x: F.when((F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["b"] >= x["a"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.get(acc, F.size(acc) - 1)["a"].alias("a"), F.greatest(F.get(acc, F.size(acc) - 1)["b"], x["b"]).alias("b"))))).otherwise(F.concat(acc, F.array(x))))
+    return materialise(each.select("doc_id", "th", joined.alias("spans")), "spans")
+
+
+def _asked(base: DataFrame, reps: DataFrame, rows: int) -> DataFrame:
+    """The texts that hold ``reps``, each with the list of them."""
+    wanted = reps.groupBy("doc_id", "th").agg(F.collect_list(F.struct("key", "dig", "weight", "lo", "n")).alias("wanted"))
+    wanted = wanted.toDF("w_id", "w_th", "wanted")
+    return base.join(_small(wanted, rows), F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("th") == F.col("w_th"))).select("doc_id", "th", "text", "wanted")
+
+
+def _settle(base: DataFrame, runs: DataFrame, length: int) -> tuple[list[DataFrame], DataFrame | None]:
+    """Repeated byte ranges ``doc_id, th, a, b`` among ``runs``, and the different contexts of hot keys, if any."""
+    keys = runs.groupBy("key").agg(F.sum("weight").alias("c"), (F.min("dig") == F.max("dig")).alias("alone")).where("c > 1").select("key", "alone")
     keys = materialise(keys, "keys")
     again = materialise(runs.join(_small(keys, keys.count()), "key"), "again")
 
-    reps = again.where("not alone").groupBy("key", "dig").agg(F.count("*").alias("weight"), F.min(F.struct("doc_id", "th", "lo", "n")).alias("r"))
+    reps = again.where("not alone").groupBy("key", "dig").agg(F.sum("weight").alias("weight"), F.min(F.struct("doc_id", "th", "lo", "n")).alias("r"))
     reps = materialise(reps.select("key", "dig", "weight", "r.*"), "contexts")
-    wanted = reps.groupBy("doc_id", "th").agg(F.collect_list(F.struct("key", "dig", "weight", "lo", "n")).alias("wanted"))
-    wanted = wanted.toDF("w_id", "w_th", "wanted")
-    asked = base.join(_small(wanted, reps.count()), F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("th") == F.col("w_th"))).select("text", "wanted")
-    contexts = asked.mapInArrow(_cut_contexts(length), "key long, dig long, weight long, n int, context binary")
+    crowded = reps.groupBy("key").agg(F.sum("n").alias("windows")).where(F.col("windows") > HOT_WINDOWS).select("key")
+    crowded = materialise(crowded, "crowded")
+    rows, many = reps.count(), crowded.count()
+    few, hot = reps, None
+    if many:
+        few = reps.join(_small(crowded, many), "key", "left_anti")
+        hot = materialise(reps.join(_small(crowded, many), "key", "left_semi"), "hot")
+    contexts = _asked(base, few, rows).mapInArrow(_cut_contexts(length), "key long, dig long, weight long, n int, context binary")
     contexts = contexts.repartition("key").sortWithinPartitions("key", "dig")
     found = materialise(contexts.mapInArrow(_merged(length), "key long, dig long, ranges array<struct<a:int,b:int>>"), "ranges")
 
     # A context that stands in two places or alone in a repeated key is repeated as a whole, and so are its runs. What
     # stands once has one run, the representative itself: its ranges say what is repeated.
     once = reps.where("weight = 1")
-    whole = again.join(_small(once.select("key", "dig"), reps.count()), ["key", "dig"], "left_anti")
+    whole = again.join(_small(once.select("key", "dig"), rows), ["key", "dig"], "left_anti")
     whole = whole.select("doc_id", "th", F.col("lo").alias("a"), (F.col("lo") + F.col("n") - 1 + length).alias("b"))
-    part = once.join(_small(found, reps.count()), ["key", "dig"]).select("doc_id", "th", "lo", F.explode("ranges").alias("r"))
+    part = once.join(_small(found, rows), ["key", "dig"]).select("doc_id", "th", "lo", F.explode("ranges").alias("r"))
     part = part.select("doc_id", "th", (F.col("lo") + F.col("r.a")).alias("a"), (F.col("lo") + F.col("r.b") - 1 + length).alias("b"))
-    each = whole.union(part).distinct().groupBy("doc_id", "th").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("s"))
-    typed = "array<struct<a:int,b:int>>"
-    joined = F.aggregate("s", F.array().cast(typed), lambda acc, x: F.when((F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["b"] >= x["a"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.get(acc, F.size(acc) - 1)["a"].alias("a"), F.greatest(F.get(acc, F.size(acc) - 1)["b"], x["b"]).alias("b"))))).otherwise(F.concat(acc, F.array(x))))
-    return materialise(each.select("doc_id", "th", joined.alias("spans")), "spans")
+    return [whole, part], hot
 
 
 def _with_spans(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str) -> DataFrame:

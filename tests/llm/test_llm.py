@@ -131,7 +131,9 @@ def brute_repeats(blobs, n):
     return out
 
 
-def test_repeats_by_brute_force(spark):
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT_WINDOWS, 600, 0])
+def test_repeats_by_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT_WINDOWS", hot)
     r = random.Random(4)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7)))
     parts = [" ".join(word() for _ in range(r.randint(5, 200))) for _ in range(12)]
@@ -143,6 +145,30 @@ def test_repeats_by_brute_force(spark):
         assert (bytes(got[i]["kept"]), got[i]["n_removed"], got[i]["n_spans"]) == (kept, gone, spans), i
 
 
+def test_narrowed_runs_of_equal_windows_meet():
+    r = random.Random(8)
+    shared = bytes(r.choice(b"abcd ") for _ in range(470))
+    seen = []
+    for _ in range(2):
+        data = np.frombuffer(bytes(r.choice(b"abcd ") for _ in range(200)) + shared + bytes(r.choice(b"abcd ") for _ in range(200)), np.uint8)
+        windows = {}
+        for doc, lo, hi, key in zip(*suffix_dedup.window_runs(data, np.array([0]), np.array([len(data)])), strict=True):
+            assert doc == 0
+            n = int(hi - lo + 1)
+            for width in suffix_dedup.WIDTHS:
+                context, at = data[lo : hi + 400].tobytes(), 0
+                for new, first, count in suffix_dedup.narrowed(context, n, int(key), width):
+                    assert first == at and 1 <= count <= width
+                    at += count
+                    for s in range(first, at):
+                        windows[width, context[s : s + 400]] = new
+                assert at == n
+        seen.append(windows)
+    both = seen[0].keys() & seen[1].keys()
+    assert len(both) == 71 * len(suffix_dedup.WIDTHS)
+    assert all(seen[0][w] == seen[1][w] for w in both)
+
+
 def test_merged_transforms_are_in_order():
     r = random.Random(6)
     blobs = [bytes(r.choice(b"ab") for _ in range(300)) for _ in range(6)]
