@@ -407,11 +407,12 @@ def _settle(base: DataFrame, runs: DataFrame, length: int) -> tuple[list[DataFra
     contexts = contexts.repartition("key").sortWithinPartitions("key", "dig")
     found = materialise(contexts.mapInArrow(_merged(length), "key long, dig long, ranges array<struct<a:int,b:int>>"), "ranges")
 
-    # A context that stands in two places or alone in a repeated key is repeated as a whole, and so are its runs. What
-    # stands once has one run, the representative itself: its ranges say what is repeated.
+    # A context that stands alone in a repeated key is repeated as a whole, and so are its runs: no join is needed. So is
+    # one that stands in two places of a key with others; the anti-join leaves out what stands once there. That has one
+    # run, the representative itself: its ranges say what is repeated.
     once = reps.where("weight = 1")
-    whole = again.join(_small(once.select("key", "dig"), rows), ["key", "dig"], "left_anti")
-    whole = whole.select("doc_id", "th", F.col("lo").alias("a"), (F.col("lo") + F.col("n") - 1 + length).alias("b"))
+    whole = again.where("not alone").join(_small(once.select("key", "dig"), rows), ["key", "dig"], "left_anti").select(again.columns)
+    whole = again.where("alone").union(whole).select("doc_id", "th", F.col("lo").alias("a"), (F.col("lo") + F.col("n") - 1 + length).alias("b"))
     part = once.join(_small(found, rows), ["key", "dig"]).select("doc_id", "th", "lo", F.explode("ranges").alias("r"))
     part = part.select("doc_id", "th", (F.col("lo") + F.col("r.a")).alias("a"), (F.col("lo") + F.col("r.b") - 1 + length).alias("b"))
     return [whole, part], hot
