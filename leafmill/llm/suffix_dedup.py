@@ -375,7 +375,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
             raise RuntimeError("different windows share a 64-bit key")
         pieces = _asked(base, hot, hot.count()).mapInArrow(_narrow(width, length), "doc_id long, th long, key long, dig long, lo int, n int, weight long")
         runs = materialise(pieces, "narrow")
-    each = reduce(DataFrame.union, ranges).distinct().groupBy("doc_id", "th").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("s"))
+    # Ranges of two lists can be equal while only one says once, so a list's number tells them apart.
+    told = reduce(DataFrame.union, [r.withColumn("list", F.lit(i)) for i, r in enumerate(ranges)])
+    told = told.groupBy("doc_id", "th", "a", "b", "list").agg(F.max("once").alias("once")).where("not once")
+    each = told.groupBy("doc_id", "th").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("s"))
     typed = "array<struct<a:int,b:int>>"
     joined = F.aggregate("s", F.array().cast(typed), lambda acc, x: F.when((F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["b"] >= x["a"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.get(acc, F.size(acc) - 1)["a"].alias("a"), F.greatest(F.get(acc, F.size(acc) - 1)["b"], x["b"]).alias("b"))))).otherwise(F.concat(acc, F.array(x))))
     return materialise(each.select("doc_id", "th", joined.alias("spans")), "spans")
@@ -389,7 +392,7 @@ def _asked(base: DataFrame, reps: DataFrame, rows: int) -> DataFrame:
 
 
 def _settle(base: DataFrame, runs: DataFrame, length: int) -> tuple[list[DataFrame], DataFrame | None]:
-    """Repeated byte ranges ``doc_id, th, a, b`` among ``runs``, and the different contexts of hot keys, if any."""
+    """Lists of byte ranges ``doc_id, th, a, b, once``, repeated but where one of a list says ``once``; contexts of hot keys, if any."""
     keys = runs.groupBy("key").agg(F.sum("weight").alias("c"), (F.min("dig") == F.max("dig")).alias("alone")).where("c > 1").select("key", "alone")
     keys = materialise(keys, "keys")
     again = materialise(runs.join(_small(keys, keys.count()), "key"), "again")
@@ -407,14 +410,14 @@ def _settle(base: DataFrame, runs: DataFrame, length: int) -> tuple[list[DataFra
     contexts = contexts.repartition("key").sortWithinPartitions("key", "dig")
     found = materialise(contexts.mapInArrow(_merged(length), "key long, dig long, ranges array<struct<a:int,b:int>>"), "ranges")
 
-    # A context that stands alone in a repeated key is repeated as a whole, and so are its runs: no join is needed. So is
-    # one that stands in two places of a key with others; the anti-join leaves out what stands once there. That has one
-    # run, the representative itself: its ranges say what is repeated.
+    # A run in a repeated key is repeated as a whole if its context stands alone there or in two places. What stands once in
+    # a key with others has one run, the representative itself, which is named by its place: no join by content is needed.
+    # Its ranges say what of it is repeated.
     once = reps.where("weight = 1")
-    whole = again.where("not alone").join(_small(once.select("key", "dig"), rows), ["key", "dig"], "left_anti").select(again.columns)
-    whole = again.where("alone").union(whole).select("doc_id", "th", F.col("lo").alias("a"), (F.col("lo") + F.col("n") - 1 + length).alias("b"))
+    place = ["doc_id", "th", F.col("lo").alias("a"), (F.col("lo") + F.col("n") - 1 + length).alias("b")]
+    whole = again.select(*place, F.lit(False).alias("once")).union(once.select(*place, F.lit(True)))
     part = once.join(_small(found, rows), ["key", "dig"]).select("doc_id", "th", "lo", F.explode("ranges").alias("r"))
-    part = part.select("doc_id", "th", (F.col("lo") + F.col("r.a")).alias("a"), (F.col("lo") + F.col("r.b") - 1 + length).alias("b"))
+    part = part.select("doc_id", "th", (F.col("lo") + F.col("r.a")).alias("a"), (F.col("lo") + F.col("r.b") - 1 + length).alias("b"), F.lit(False).alias("once"))
     return [whole, part], hot
 
 
