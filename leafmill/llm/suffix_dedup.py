@@ -77,8 +77,8 @@ def window_runs(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, lengt
 CHUNK = 400_000
 SLICE = 8_000_000
 #: Bytes of contexts in a shard, and about so many in a batch of whole keys.
-SHARD = 500_000
-BATCH = 1_500_000
+SHARD = 250_000
+BATCH = 750_000
 #: A key whose different contexts have more windows than this is dealt out again, by runs of at most so many windows.
 HOT_WINDOWS = 250_000
 WIDTHS = (32, 4, 1)
