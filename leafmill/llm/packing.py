@@ -111,6 +111,7 @@ def pack(rows: DataFrame, length_col: str = "n_tokens", id_cols: tuple[str, ...]
     spark = rows.sparkSession
     top = max(sizes)
     base = rows.select(*id_cols, F.greatest(F.coalesce(F.col(length_col).cast("long"), F.lit(0)), F.lit(0)).alias("total"))
+    base = materialise(base, "lengths")  # read three times below; what a length takes to count is done once
     pieces = base.withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("total") / top) - 1, F.lit(0)).cast("int"))))
     pieces = pieces.withColumn("n_tokens", F.least(F.lit(top).cast("long"), F.col("total") - F.col("piece").cast("long") * top)).drop("total")
     counts = {r[0]: r[1] for r in pieces.where("n_tokens > 0").groupBy("n_tokens").agg(F.count("*")).collect()}
@@ -121,7 +122,7 @@ def pack(rows: DataFrame, length_col: str = "n_tokens", id_cols: tuple[str, ...]
     salts = F.greatest(F.lit(1), F.ceil(F.col("of_length") / SALT_ROWS)).cast("long")
     sizes_df = spark.createDataFrame(sorted(counts.items()) or [(0, 0)], "n_tokens long, of_length long")
     full = pieces.where("n_tokens > 0").join(F.broadcast(sizes_df), "n_tokens").withColumn("mark", mark)
-    full = materialise(full.withColumn("salt", F.pmod("mark", salts)).drop("of_length"), "pieces")
+    full = full.withColumn("salt", F.pmod("mark", salts)).drop("of_length")
     by_salt = full.groupBy("n_tokens", "salt").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("n_tokens").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
     offsets = by_salt.select("n_tokens", "salt", F.coalesce(before, F.lit(0)).alias("before"))
