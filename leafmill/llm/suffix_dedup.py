@@ -337,6 +337,11 @@ def _merged(length: int):
     return run
 
 
+def _listed(df: DataFrame, col: str) -> int:
+    """Rows of ``df`` and entries of its lists ``col``: a bound on its size, where a row's list may be long."""
+    return df.agg(F.sum(F.size(col) + 1)).first()[0] or 0
+
+
 def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
@@ -416,7 +421,7 @@ def _settle(base: DataFrame, runs: DataFrame, length: int) -> tuple[list[DataFra
     once = reps.where("weight = 1")
     place = ["doc_id", "th", F.col("lo").alias("a"), (F.col("lo") + F.col("n") - 1 + length).alias("b")]
     whole = again.select(*place, F.lit(False).alias("once")).union(once.select(*place, F.lit(True)))
-    part = once.join(_small(found, rows), ["key", "dig"]).select("doc_id", "th", "lo", F.explode("ranges").alias("r"))
+    part = once.join(_small(found, _listed(found, "ranges")), ["key", "dig"]).select("doc_id", "th", "lo", F.explode("ranges").alias("r"))
     part = part.select("doc_id", "th", (F.col("lo") + F.col("r.a")).alias("a"), (F.col("lo") + F.col("r.b") - 1 + length).alias("b"), F.lit(False).alias("once"))
     return [whole, part], hot
 
@@ -424,7 +429,7 @@ def _settle(base: DataFrame, runs: DataFrame, length: int) -> tuple[list[DataFra
 def _with_spans(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``docs`` with a column ``__spans``; a text is matched by its id and its hash."""
     keyed = docs.withColumn("__th", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    s = _small(spans.select(F.col("doc_id").alias("__id"), F.col("th").alias("__h"), F.col("spans").alias("__spans")), spans.count())
+    s = _small(spans.select(F.col("doc_id").alias("__id"), F.col("th").alias("__h"), F.col("spans").alias("__spans")), _listed(spans, "spans"))
     on = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__h"))
     return keyed.join(s, on, "left").drop("__th", "__id", "__h")
 
