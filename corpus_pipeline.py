@@ -16,6 +16,9 @@ from leafmill.llm.common import clear_scratch, delete, store, table
 #: A document goes if its quality score is below this.
 LEAST_QUALITY = 0.5
 
+#: Texts are near copies if so large a share of their five-word shingles is common.
+NEAR = 0.8
+
 #: SQL can't express the trained first stage.
 ORACLE_SQL = None
 
@@ -34,9 +37,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row of least id of each component of near fingerprints over five-word shingles."""
+    """The row of least id of each component of near fingerprints, or similar sets, of five-word shingles."""
     clear_scratch(spark)
-    return simhash.keep_first(docs, words=5)
+    return simhash.keep_first(docs, words=5, similarity=NEAR)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,4 +1,8 @@
-"""SimHash near-dedup: fingerprints of word shingles, linked by a self-join of binary tries."""
+"""SimHash near-dedup: fingerprints of word shingles, linked by a self-join of binary tries.
+
+A 64-bit fingerprint within three bits reaches near copies of about 0.95 and more only. Where a similarity of the shingle
+sets is asked for, texts that share a band of minima are compared too, and linked if their sets are that similar.
+"""
 
 from __future__ import annotations
 
@@ -15,29 +19,61 @@ FRONTIER = 400_000
 #: A block with more fingerprints than this is dealt out as pairs of sub-tries, six bits further down.
 HOT_BLOCK = 4096
 HOT_BITS = 6
+#: Bands of so many minima: texts of similarity s share one with probability 1 - (1 - s ** MINIMA) ** BANDS (0.9996 at 0.8).
+BANDS, MINIMA = 20, 5
+#: Rows up to which the texts to compare are named by a broadcast (8 bytes each).
+BROADCAST_TEXTS = 500_000
 
+_MIX = np.random.RandomState(91).randint(1, 1 << 62, (3, BANDS * MINIMA), dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def fingerprint(text: str, words: int, seed: int = 42) -> int:
-    """Bits that are set in over half of the XXH64 values of the text's shingles, repeats included."""
+def shingles(text: str, words: int, seed: int = 42) -> np.ndarray:
+    """XXH64 values of the text's shingles, repeats included; fewer words than a shingle has are one."""
     parts = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not parts:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(parts)
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     span = min(words, len(parts))
     digest = xxhash.xxh64_intdigest
     n = len(parts) - span + 1
-    counts = np.zeros(64, np.int64)
+    hashes = np.empty(n, "<u8")
     for at in range(0, n, 65536):
         pairs = zip(starts[at : min(n, at + 65536)].tolist(), ends[at + span - 1 : at + span - 1 + 65536].tolist(), strict=False)
-        hashes = np.array([digest(joined[a:b], seed) for a, b in pairs], "<u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        part = [digest(joined[a:b], seed) for a, b in pairs]
+        hashes[at : at + len(part)] = part
+    return hashes
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bits that are set in over half of the values."""
+    n = len(hashes)
+    counts = np.zeros(64, np.int64)
+    for at in range(0, n, 65536):
+        counts += np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str, words: int, seed: int = 42) -> int:
+    """Bits that are set in over half of the XXH64 values of the text's shingles, repeats included."""
+    return majority(shingles(text, words, seed))
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band of minima of a set of shingles; an empty set has none."""
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    least = np.full(BANDS * MINIMA, ~np.uint64(0))
+    for at in range(0, len(hashes), 4096):
+        h = (hashes[at : at + 4096, None] ^ _MIX[0]) * _MIX[1]
+        h ^= h >> np.uint64(31)
+        np.minimum(least, (h * _MIX[2]).min(axis=0), out=least)
+    bands = least.astype("<u8").reshape(BANDS, MINIMA)
+    return np.array([xxhash.xxh64_intdigest(b.tobytes(), i) for i, b in enumerate(bands)], np.uint64).view(np.int64)
+
+
 def fingerprints(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, th, fp`` (the text's hash, the fingerprint as a signed long) of every row; without words it is zero."""
     small_batches(docs.sparkSession)
@@ -189,15 +225,90 @@ def near_links(fps: DataFrame, budget: int = 3) -> DataFrame:
     return dealt.mapInArrow(_links(budget), "u long, v long")
 
 
-def near_groups(docs: DataFrame, words: int = 5, budget: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _signatures(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """``fingerprints`` with ``n``, the number of different shingles, and ``keys``, those of the bands."""
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            fps, sizes, keys = [], [], []
+            for text in b.column("text").to_pylist():
+                hashes = shingles(text, words)
+                fps.append(majority(hashes))
+                hashes = np.unique(hashes)
+                sizes.append(len(hashes))
+                keys.append(band_keys(hashes))
+            columns = [b.column("doc_id"), b.column("th"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "th", "fp", "n", "keys"])
+
+    return texts(docs, id_col, text_col).withColumn("th", F.xxhash64("text")).mapInArrow(run, "doc_id long, th long, fp long, n int, keys array<long>")
+
+
+def _alike(docs: DataFrame, pairs: DataFrame, words: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """``u, v`` of the ``pairs`` (texts ``a, b``, their fingerprints ``u, v``) whose shingle sets are similar enough."""
+
+    def sets(batches):
+        for b in batches:
+            found = [np.unique(shingles(t, words)).tobytes() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("th"), pa.array(found, pa.binary())], ["th", "found"])
+
+    def compare(batches):
+        for b in batches:
+            good = []
+            for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
+                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both / (len(x) + len(y) - both) >= similarity)
+            yield b.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
+
+    pairs = materialise(pairs, "pairs")
+    asked = pairs.select(F.col("a").alias("th")).union(pairs.select("b")).distinct()
+    asked = F.broadcast(asked) if asked.count() <= BROADCAST_TEXTS else asked
+    base = texts(docs, id_col, text_col).select(F.xxhash64("text").alias("th"), "text")
+    found = materialise(base.join(asked, "th", "left_semi").mapInArrow(sets, "th long, found binary").dropDuplicates(["th"]), "sets")
+    side = lambda name, to: found.select(F.col("th").alias(name), F.col("found").alias(to))
+    return pairs.join(side("b", "y"), "b").join(side("a", "x"), "a").select("u", "v", "x", "y").mapInArrow(compare, "u long, v long")
+
+
+def _linked_alike(docs: DataFrame, rows: DataFrame, roots: DataFrame, words: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """Components of fingerprints ``(node, root)``: those in ``roots``, joined by pairs of texts that are similar enough.
+
+    Texts with a band in common are compared: first each with the least of its band, then all that the bands still
+    hold in different components. Pairs in one component have no link to add, so a band of near copies takes about
+    as many comparisons as it has texts.
+    """
+    members = materialise(rows.where("n > 0").select("th", "fp", "n", "keys").dropDuplicates(["th"]).select("th", "fp", "n", F.explode("keys").alias("key")), "bands")
+    shared = members.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    members = materialise(members.join(shared, "key"), "bands")
+    for every in (False, True):
+        roots = materialise(roots, "roots")
+        now = members.join(roots, members.fp == roots.node, "left").select("key", "th", "fp", "n", F.coalesce("root", "fp").alias("root"))
+        mixed = now.groupBy("key").agg(F.min(F.struct("th", "fp", "n", "root")).alias("one"), F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s")
+        if every:
+            left = now.join(mixed.select("key"), "key", "left_semi")
+            pairs = left.select("key", F.struct("th", "fp", "n", "root").alias("one")).join(left, "key").where("one.th < th")
+        else:
+            pairs = now.join(mixed.select("key", "one"), "key")
+        fits = (F.col("root") != F.col("one.root")) & (F.least("n", "one.n") >= similarity * F.greatest("n", "one.n") - 1e-6)
+        pairs = pairs.where(fits).select(F.col("one.th").alias("a"), F.col("th").alias("b"), F.col("one.fp").alias("u"), F.col("fp").alias("v")).distinct()
+        more = _alike(docs, pairs, words, similarity, id_col, text_col)
+        roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
+    return roots
+
+
+def near_groups(docs: DataFrame, words: int = 5, budget: int = 3, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
     """``doc_id, th, fp, component_id, root`` of every row: the least ``doc_id`` that links of fingerprints reach.
 
+    With ``similarity``, texts are linked as well if so large a share (Jaccard) of their different shingles is common.
+
     A null or empty text has fingerprint zero and links like any other. Rows of one fingerprint are linked, repeated
     rows among them; a null ``doc_id`` is the component's id only if all its ids are null. Empty in, empty out.
     """
-    rows = materialise(fingerprints(docs, words, id_col, text_col), "fingerprints")
+    rows = materialise(fingerprints(docs, words, id_col, text_col) if similarity is None else _signatures(docs, words, id_col, text_col), "fingerprints")
     least = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     roots = components(near_links(least, budget))
+    if similarity is not None:
+        roots = _linked_alike(docs, rows, roots, words, similarity, id_col, text_col)
     rooted = least.join(roots, least.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     rooted = materialise(rooted, "rooted")
     ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -205,9 +316,9 @@ def near_groups(docs: DataFrame, words: int = 5, budget: int = 3, id_col: str =
     return rows.join(named, "fp").select("doc_id", "th", "fp", "component_id", "root")
 
 
-def keep_first(docs: DataFrame, words: int = 5, budget: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_first(docs: DataFrame, words: int = 5, budget: int = 3, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
     """``docs`` with all columns, and one row of each component: that of least id, then of least text hash."""
-    rows = materialise(near_groups(docs, words, budget, id_col, text_col), "near")
+    rows = materialise(near_groups(docs, words, budget, id_col, text_col, similarity), "near")
     mark = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("doc_id"), F.col("th").alias("th"))
     first = rows.groupBy("root").agg(F.min(mark).alias("f"), F.count("*").alias("n")).where("n > 1")
     rest = rows.join(first, "root").where(~(F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("th") == F.col("f.th"))))

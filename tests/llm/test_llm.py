@@ -85,6 +85,30 @@ def test_near_links_find_all_components(spark, monkeypatch):
     assert len(pairs) == len(set(label.tolist()))
 
 
+def test_similar_shingles_are_linked_by_brute_force(spark):
+    r = random.Random(15)
+    words = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    docs = []
+    for n in (60, 200, 400, 1000):
+        for edits in (0.005, 0.01, 0.02, 0.03, 0.05):
+            base = words(n)
+            docs += [base, *([w if r.random() >= edits else f"e{r.randrange(10**6)}" for w in base] for _ in range(4))]
+    docs += [words(3), words(3), []]
+    docs = [" ".join(d) for d in docs]
+    sets = [{tuple(d.split()[i : i + 5]) for i in range(max(len(d.split()) - 4, 1))} for d in docs]
+    label, alone = list(range(len(docs))), 0
+    for i in range(len(docs)):
+        for j in range(i):
+            if docs[i] and docs[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+                alone += (simhash.fingerprint(docs[i], 5) ^ simhash.fingerprint(docs[j], 5)).bit_count() > 3
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = {x["doc_id"]: x["component_id"] for x in simhash.near_groups(df, words=5, similarity=0.8).collect()}
+    assert alone > 50
+    assert [got[i] for i in range(len(docs))] == label
+
+
 def test_bpe_is_tiktoken():
     import public_tokenizers as P
     import tiktoken
