@@ -255,6 +255,25 @@ def test_passages_are_found(spark):
         assert x["end_word"] - x["start_word"] >= 50
 
 
+def test_passages_are_found_beside_other_holders_of_their_seeds(spark):
+    r = random.Random(21)
+    words = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    signed = lambda t: (xxhash.xxh64_intdigest(t, 42) + 2**63) % 2**64
+    docs = []
+    for holders in [((0, 45),)] * 8 + [((0, 30), (30, 60))] * 8:
+        shared = words(60)
+        pair = [" ".join(words(80) + shared + words(80)) for _ in range(2)]
+        docs += pair
+        for a, b in holders:  # each holder comes before the pair in order of text hashes
+            while signed(text := " ".join(words(80) + shared[a:b] + words(80))) > min(map(signed, pair)):
+                pass
+            docs.append(text)
+    ids = [i for n in range(8) for i in (3 * n,)] + [24 + 4 * n for n in range(8)]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    linked = {frozenset((x["doc_id"], x["source_id"])) for x in passages.shared_passages(df).collect()}
+    assert linked == {frozenset((i, i + 1)) for i in ids}
+
+
 def test_chain_keeps_order_and_score():
     x, y = np.array([0, 10, 20, 5, 40]), np.array([100, 110, 121, 300, 50])
     got = passages.chain(x, y)
