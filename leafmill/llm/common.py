@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -16,14 +18,29 @@ _own_root: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; only where none is set (tests), a temporary one."""
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``.
+
+    Where it names none, a temporary folder serves in local mode, where all tasks run on this machine, until the
+    interpreter ends. On a cluster executors wouldn't see each other's files there, so that is an error.
+    """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_root:
-        _own_root[app] = "file://" + tempfile.mkdtemp(prefix="leafmill-")
-    return _own_root[app]
+        _own_root[app] = tempfile.mkdtemp(prefix="leafmill-")
+        atexit.register(shutil.rmtree, _own_root[app], ignore_errors=True)
+    return "file://" + _own_root[app]
+
+
+@atexit.register
+def _clear_at_exit() -> None:
+    """Scratch tables of op queries go with the driver, if its session is still there."""
+    session = SparkSession.getActiveSession()
+    if session is not None and session.sparkContext._jsc is not None:
+        clear_scratch(session)
 
 
 def store(df: DataFrame, label: str) -> tuple[DataFrame, str]:

@@ -79,93 +79,123 @@ SLICE = 8_000_000
 #: Bytes of contexts in a shard, and about so many in a batch of whole keys.
 SHARD = 250_000
 BATCH = 750_000
-#: A key whose different contexts have more windows than this is dealt out again, by runs of at most so many windows.
-HOT_WINDOWS = 250_000
+#: A key whose different contexts have more bytes than this is dealt out again, by runs of at most so many windows.
+HOT_BYTES = 1_200_000
 WIDTHS = (32, 4, 1)
-#: Rows up to which the smaller side of a join with the texts is broadcast (a few dozen bytes each).
+#: A key that more places hold is looked up where its runs are (``_frequent``), not joined to them.
+FREQUENT = 32
+#: Keys of 16 bytes up to which such a look-up table is sent, and rows or list entries of a broadcast side of a join.
+LOOKUP_KEYS = 500_000
 BROADCAST_ROWS = 1_000_000
 
 
 class Transform:
-    """Burrows-Wheeler transform of a shard, at the suffixes that are asked for.
+    """Burrows-Wheeler transform of a shard of contexts, its rows in order of ``(group, suffix)``.
 
-    ``at`` are positions in ``data`` in order of ``(group, the next length bytes)``, ``bwt`` the bytes before them,
-    ``lcp[i]`` the common prefix of suffix i with the one before it in the same group, ``length`` at most; -1 at a
-    group's first. Only suffixes of one group are compared.
+    ``bwt`` is the symbol before each suffix: a byte and one, or 0 where a context starts; each context ends in a
+    terminator 0 and equal suffixes stand in order of their contexts. ``at`` says which place of the shard's text a row
+    is, to report it; merging reads the symbols and groups alone.
     """
 
-    def __init__(self, data: np.ndarray, at: np.ndarray, group: np.ndarray, lcp: np.ndarray):
-        self.data, self.at, self.group, self.lcp = data, at, group, lcp
-        self.bwt = data[at - 1]
+    def __init__(self, bwt: np.ndarray, group: np.ndarray, at: np.ndarray):
+        self.bwt, self.group, self.at = bwt, group, at
 
     @classmethod
-    def build(cls, data: np.ndarray, at: np.ndarray, group: np.ndarray, length: int = LENGTH) -> Transform:
-        order = np.argsort(group, kind="stable")
-        at, group = at[order], group[order]
-        order, lcp = refine(data, at, group, length)
-        return cls(data, at[order], group[order], lcp)
+    def build(cls, contexts: list[bytes], groups: np.ndarray) -> Transform:
+        sizes = np.fromiter(map(len, contexts), np.int64, len(contexts)) + 1
+        data = np.frombuffer(b"\0".join(contexts) + b"\0", np.uint8)
+        ends = np.cumsum(sizes) - 1
+        sym = data.astype(np.int32) + 1
+        sym[ends] = 0
+        end, group = np.repeat(ends, sizes).astype(np.int32), np.repeat(groups, sizes)
+        place = np.arange(len(sym), dtype=np.int32)
+        code, padded = group.astype(np.int64), np.append(sym, np.zeros(3, np.int32))
+        for i in range(4):
+            code = code * 257 + np.where(place + i <= end, padded[i : i + len(sym)], 0)
+        order = np.argsort(code, kind="stable").astype(np.int32)
+        rank, live, _ = _buckets(order, code[order])
+        k, longest = 4, int(sizes.max(initial=0))
+        while len(live) and k < longest:
+            after = np.where(place + k <= end, place + k, -1)
+            live, _ = _refine(order, rank, live, after)
+            k *= 2
+        before = np.append(np.int32(0), sym[:-1])  # a context's first symbol comes after the last one's terminator
+        return cls(before[order], group[order], order)
+
+    def next_rows(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each row its first symbol, and the row of the suffix that follows it (the inverse of the LF mapping).
+
+        The n-th row of a group that starts with a symbol is followed by the n-th row that the symbol comes before.
+        """
+        code = self.group.astype(np.int64) * 257 + self.bwt
+        rows = np.argsort(code, kind="stable").astype(np.int32)
+        first = self.bwt[rows]
+        return first, np.where(first == 0, np.int32(-1), rows)
+
+
+def _buckets(order: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows in ``order`` of their ``code``: each row's rank (where its bucket starts), places not yet single, the cuts.
+
+    A last rank of -1 stands for no row, the one numbered -1.
+    """
+    cut = np.append(True, code[1:] != code[:-1]) if len(code) else np.zeros(0, bool)
+    places = np.arange(len(code), dtype=np.int32)
+    rank = np.full(len(code) + 1, -1, np.int32)
+    rank[order] = np.maximum.accumulate(np.where(cut, places, 0)) if len(code) else 0
+    return rank, places[~(cut & np.append(cut[1:], True))] if len(code) else places, np.flatnonzero(cut)
 
 
-def refine(data: np.ndarray, at: np.ndarray, group: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of suffixes within groups and their common prefixes, by passes over blocks of eight bytes.
+def _refine(order: np.ndarray, rank: np.ndarray, live: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One refinement: the rows of a bucket are told apart by the ranks of the rows ``after`` them (-1: none).
 
-    The interleave that comes in is stable: what stands in order already (a shard's own suffixes) stays so. A pass
-    looks at the next eight bytes of the suffixes that still share a bucket with a neighbour, reorders only within
-    buckets where these differ, and cuts the buckets there; the pass and the first differing byte are the common
-    prefix at the cut. Suffixes whose buckets are single drop out of later passes.
+    Ranks and order are changed in place. Returns the places that are still not single, and those that were cut. What
+    comes in sorted runs (a shard's rows of a bucket) is merged, not sorted anew: the sort is a stable run merge.
     """
-    n = len(at)
-    blocks = np.ndarray((max(len(data) - 7, 0),), ">u8", data, strides=(1,))
-    order = np.arange(n)
-    cut = np.ones(n, bool)
-    cut[1:] = group[1:] != group[:-1]
-    lcp = np.where(cut, -1, length)
-    live = np.arange(n)
-    for depth in range(0, length, 8):
-        single = cut[live] & np.append(cut[live[1:]] | (live[1:] != live[:-1] + 1), True)
-        live = live[~single]
-        if not len(live):
-            break
-        sym = blocks[at[order[live]] + depth].astype(np.uint64)
-        if length - depth < 8:
-            sym &= np.uint64(~((1 << 8 * (8 - length + depth)) - 1) & 0xFFFFFFFFFFFFFFFF)
-        head = cut[live]
-        differ = np.append(False, sym[1:] != sym[:-1]) & ~head
-        if not differ.any():
-            continue
-        bucket = np.cumsum(head) - 1
-        mixed = np.zeros(bucket[-1] + 1, bool)
-        mixed[bucket[differ]] = True
-        rows = np.flatnonzero(mixed[bucket])
-        inner = np.lexsort((sym[rows], bucket[rows]))
-        order[live[rows]] = order[live[rows]][inner]
-        sym[rows] = sym[rows][inner]
-        x = np.append(np.uint64(0), sym[1:] ^ sym[:-1])
-        new = np.flatnonzero((x != 0) & ~head)
-        cut[live[new]] = True
-        same = np.zeros(len(new), np.int64)
-        for k in range(1, 8):  # leading bytes that agree
-            same += x[new] < np.uint64(1) << np.uint64(64 - 8 * k)
-        lcp[live[new]] = depth + same
-    return order, lcp
+    rows = order[live]
+    key = rank[rows].astype(np.int64) << 32 | rank[after[rows]] + 1
+    by = np.argsort(key, kind="stable")
+    rows, key = rows[by], key[by]
+    old, cut = key >> 32, np.append(True, key[1:] != key[:-1])
+    order[live] = rows
+    rank[rows] = np.maximum.accumulate(np.where(cut, live, 0))
+    new = live[1:][cut[1:] & (old[1:] == old[:-1])]
+    return live[~(cut & np.append(cut[1:], True))], new
 
 
 def merge(parts: list[Transform], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Merges transforms of shards: ``(which, index, lcp)`` of the suffixes of all in one order.
-
-    The first interleave puts the shards' suffixes of a group behind each other, each in the order its shard gave
-    it; refinement only moves them between each other. ``which`` is the shard and ``index`` the place in its order.
+    """Merges transforms of shards: ``(which, index, common)`` of the rows of all in one order.
+
+    ``which`` is the shard and ``index`` the row in it. The interleave is refined step by step, from the symbols alone:
+    it starts in order of (group, first symbol), and each step orders the rows of a bucket by the buckets of the rows
+    that follow them in their shards, k symbols on (k doubles, by the powers of the shards' LF mappings; one more
+    symbol is a step with k = 1). A shard's rows never change their order among each other. After the last step rows of
+    one bucket agree in ``length`` symbols. ``common[i]`` is the common prefix of row i and the one before it as told
+    by the step that cut their bucket: at least so many symbols, fewer than at that step's end; ``length`` if none
+    did, -1 at a group's first.
     """
-    base = np.cumsum([0] + [len(p.data) for p in parts])
-    data = np.concatenate([p.data for p in parts])
-    at = np.concatenate([p.at + b for p, b in zip(parts, base, strict=False)])
-    group = np.concatenate([p.group for p in parts])
-    which = np.repeat(np.arange(len(parts)), [len(p.at) for p in parts])
-    index = np.concatenate([np.arange(len(p.at)) for p in parts])
-    first = np.argsort(group, kind="stable")
-    order, lcp = refine(data, at[first], group[first], length)
-    first = first[order]
-    return which[first], index[first], lcp
+    base = np.cumsum([0] + [len(p.bwt) for p in parts])
+    group = np.concatenate([p.group for p in parts]).astype(np.int64)
+    ahead = [p.next_rows() for p in parts]
+    code = group * 257 + np.concatenate([first for first, _ in ahead])
+    one = np.concatenate([np.where(to >= 0, to + np.int32(b), np.int32(-1)) for (_, to), b in zip(ahead, base, strict=False)] + [np.full(1, -1, np.int32)])
+    order = np.argsort(code, kind="stable").astype(np.int32)
+    rank, live, cuts = _buckets(order, code[order])
+    common = np.full(len(order), length, np.int32)
+    common[cuts] = 0
+    common[np.flatnonzero(np.append(True, np.diff(group[order]) != 0))] = -1
+    k, after = 1, one
+    for bit in bin(length)[3:]:
+        if not len(live):
+            break
+        live, new = _refine(order, rank, live, after)
+        common[new] = k
+        k, after = 2 * k, after[after]
+        if bit == "1" and len(live):
+            live, new = _refine(order, rank, live, one)
+            common[new] = k
+            k, after = k + 1, one[after]
+    which = np.searchsorted(base, order, side="right") - 1
+    return which, order - base[which], common
 
 
 def repeated(contexts: list[tuple[int, bytes, int, int]], length: int = LENGTH) -> list[np.ndarray]:
@@ -183,34 +213,26 @@ def repeated(contexts: list[tuple[int, bytes, int, int]], length: int = LENGTH)
         shards[-1].append(i)
         size += len(c[1])
     keys = {k: g for g, k in enumerate(dict.fromkeys(c[0] for c in contexts))}
+    windows = np.array([c[2] for c in contexts], np.int64)
+    first = np.cumsum(windows) - windows
     parts, owners = [], []
-    for shard in shards:
-        # A byte before the first and eight behind the last keep look-ups inside.
-        data = np.frombuffer(b"\0" + b"".join(contexts[i][1] for i in shard) + b"\0" * 8, np.uint8)
-        starts = 1 + np.cumsum([0] + [len(contexts[i][1]) for i in shard])[:-1]
-        windows = np.array([contexts[i][2] for i in shard], np.int64)
-        owner = np.repeat(np.array(shard, np.int64), windows)
-        at = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows) + np.repeat(starts, windows)
-        group = np.repeat(np.array([keys[contexts[i][0]] for i in shard], np.int64), windows)
-        t = Transform.build(data, at, group, length)
-        place = np.repeat(starts, windows)
-        by_at = np.zeros(len(data), np.int64)
-        by_at[at] = np.arange(len(at))
-        k = by_at[t.at]
+    for shard in shards if contexts else []:
+        t = Transform.build([contexts[i][1] for i in shard], np.array([keys[contexts[i][0]] for i in shard], np.int32))
+        starts = np.cumsum([0] + [len(contexts[i][1]) + 1 for i in shard])
+        own = np.searchsorted(starts, t.at, side="right") - 1
         parts.append(t)
-        owners.append((owner[k], t.at - place[k]))
-    which, index, lcp = merge(parts, length)
-    interval = np.cumsum(lcp < length) - 1  # suffixes with a common prefix of the whole length
-    offset = np.cumsum([0] + [len(o) for o, _ in owners])
-    flat = offset[which] + index
+        owners.append((np.array(shard, np.int64)[own], t.at - starts[own]))
+    if not parts:
+        return []
+    which, index, common = merge(parts, length)
+    interval = np.cumsum(common < length) - 1  # rows with a common prefix of the whole length
+    flat = np.cumsum([0] + [len(p.bwt) for p in parts])[which] + index
     owner, start = (np.concatenate(x)[flat] for x in zip(*owners, strict=True))
-    weight = np.array([c[3] for c in contexts], np.int64)[owner]
-    often = np.bincount(interval, weight)[interval] >= 2
-    out = [np.zeros(c[2], bool) for c in contexts]
-    flags = np.zeros(sum(c[2] for c in contexts), bool)
-    first = np.cumsum([0] + [c[2] for c in contexts])
-    flags[first[owner] + start] = often
-    return [flags[a:b] for a, b in zip(first[:-1], first[1:], strict=True)] if contexts else out
+    weight = np.where(start < windows[owner], np.array([c[3] for c in contexts], np.int64)[owner], 0)
+    often = (np.bincount(interval, weight)[interval] >= 2) & (weight > 0)
+    flags = np.zeros(int(windows.sum()), bool)
+    flags[(first[owner] + start)[often]] = True
+    return [flags[a : a + n] for a, n in zip(first.tolist(), windows.tolist(), strict=True)]
 
 
 def _utf8(texts: list) -> list[bytes]:
@@ -337,6 +359,102 @@ def _merged(length: int):
     return run
 
 
+class _Lookup:
+    """A sorted table of 64-bit keys, or of (key, digest) pairs, that workers hold; ``flag`` says something of each."""
+
+    def __init__(self, rows: pa.Table, columns: list[str], flag: str | None = None):
+        values = [rows.column(c).to_numpy() for c in columns]
+        order = np.lexsort(values[::-1])
+        self.values = [v[order] for v in values]
+        self.flag = rows.column(flag).to_numpy(zero_copy_only=False)[order] if flag else None
+
+    def find(self, *asked: np.ndarray) -> np.ndarray:
+        """The place of each asked key or pair, -1 where the table lacks it."""
+        first = self.values[0]
+        if len(asked) == 1:
+            at = np.minimum(np.searchsorted(first, asked[0]), len(first) - 1)
+            return np.where(first[at] == asked[0], at, -1)
+        own, which = np.unique(first, return_index=True)  # a key's pairs stand together, in order of digests
+        ends, out = np.append(which[1:], len(first)), np.full(len(asked[0]), -1)
+        at = np.minimum(np.searchsorted(own, asked[0]), len(own) - 1)
+        left = np.flatnonzero(own[at] == asked[0])
+        lo, hi = which[at[left]], ends[at[left]]
+        while len(left):  # all asked pairs halve their ranges together
+            mid = (lo + hi) // 2
+            got = self.values[1][mid]
+            hit = got == asked[1][left]
+            out[left[hit]] = mid[hit]
+            less = got < asked[1][left]
+            lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, mid)
+            on = ~hit & (lo < hi)
+            left, lo, hi = left[on], lo[on], hi[on]
+        return out
+
+
+def _filtered(batches, lookup: _Lookup, columns: list[str]):
+    """Runs that ``lookup`` has, as tables of about 100,000 rows, with their places in it."""
+    held, size = [], 0
+    for b in batches:
+        found = lookup.find(*[b.column(b.schema.get_field_index(c)).to_numpy() for c in columns])
+        rows = np.flatnonzero(found >= 0)
+        if len(rows):
+            held.append((b.take(pa.array(rows)), found[rows]))
+            size += len(rows)
+        if size > 100_000:
+            yield pa.Table.from_batches([x for x, _ in held]).combine_chunks(), np.concatenate([f for _, f in held])
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches([x for x, _ in held]).combine_chunks(), np.concatenate([f for _, f in held])
+
+
+def _collapsed(keys):
+    """Runs -> for each context of a frequent key its weight and least place, as far as this task has seen."""
+
+    def run(batches):
+        lookup = keys.value
+        for t, found in _filtered(batches, lookup, ["key"]):
+            key, dig, th, lo = (t.column(c).to_numpy() for c in ("key", "dig", "th", "lo"))
+            doc = t.column("doc_id").fill_null(np.iinfo(np.int64).min).to_numpy()
+            order = np.lexsort((lo, th, doc, dig, key))
+            cut = np.flatnonzero(np.append(True, (np.diff(key[order]) != 0) | (np.diff(dig[order]) != 0)))
+            weight = np.add.reduceat(t.column("weight").to_numpy()[order], cut)
+            out = t.take(pa.array(order[cut])).drop_columns(["weight"])
+            out = out.append_column("weight", pa.array(weight)).append_column("alone", pa.array(lookup.flag[found[order[cut]]]))
+            yield from out.select(["key", "dig", "alone", "weight", "doc_id", "th", "lo", "n"]).to_batches()
+
+    return run
+
+
+def _covered(pairs, length: int):
+    """Runs -> the byte ranges of those whose context is in ``pairs``, neighbours of a text joined."""
+
+    def run(batches):
+        for t, _ in _filtered(batches, pairs.value, ["key", "dig"]):
+            th, lo = t.column("th").to_numpy(), t.column("lo").to_numpy().astype(np.int64)
+            doc = t.column("doc_id").fill_null(np.iinfo(np.int64).min).to_numpy()
+            end = lo + t.column("n").to_numpy() - 1 + length
+            order = np.lexsort((lo, th, doc))
+            doc, th, lo, end = (x[order] for x in (doc, th, lo, end))
+            text = np.append(0, np.cumsum((np.diff(doc) != 0) | (np.diff(th) != 0)))
+            shift = text * (int(end.max()) + 1)  # ranges of different texts never touch
+            first, last = _joined(lo + shift, end + shift)
+            cut = np.searchsorted(lo + shift, first)
+            rows = t.take(pa.array(order[cut]))
+            back = shift[cut]
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id").combine_chunks(), rows.column("th").combine_chunks(), pa.array((first - back).astype(np.int32)), pa.array((last - back).astype(np.int32))], ["doc_id", "th", "a", "b"])
+
+    return run
+
+
+def _joined(lo: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal ranges of ranges in order of their starts; ranges that touch are one."""
+    if not len(lo):
+        return lo, end
+    reach = np.maximum.accumulate(end)
+    new = np.append(True, lo[1:] > reach[:-1])
+    return lo[new], reach[np.append(np.flatnonzero(new)[1:] - 1, len(lo) - 1)]
+
+
 def _listed(df: DataFrame, col: str) -> int:
     """Rows of ``df`` and entries of its lists ``col``: a bound on its size, where a row's list may be long."""
     return df.agg(F.sum(F.size(col) + 1)).first()[0] or 0
@@ -355,15 +473,16 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     """``doc_id, th, spans array<struct<a, b>>``: byte ranges that strings of ``length`` bytes occurring twice cover.
 
     ``th`` is xxhash64 of the text, so rows of one id with different texts stay apart. Ranges are sorted and maximal;
-    texts without any have no row.
+    texts without any have no row. Null and empty texts and those shorter than ``length`` have none, repeated rows
+    repeat each other's strings, a null id is an id of its own, and an empty table gives none.
 
     Windows are dealt out by a key that follows from their bytes (``window_runs``), so equal ones meet wherever they
     stand; keys seen once are done. Runs of windows with equal contexts are collapsed into one with a weight, which
     settles keys with a single context. The contexts of the other keys are gathered by key into shards, each shard's
     transform is built, and the shards' transforms are merged by interleave refinement: an interval of suffixes
     whose common prefixes reach ``length`` and whose weights sum to two or more is a repeated string. A key with more
-    than ``HOT_WINDOWS`` windows of different contexts never gathers in a task: its contexts are dealt out again by
-    shorter runs and longer shared content (``narrowed``), down to single windows, which collapse.
+    than ``HOT_BYTES`` of different contexts never gathers in a task: its contexts are dealt out again by shorter runs
+    and longer shared content (``narrowed``), down to single windows, which collapse.
     """
     spark = docs.sparkSession
     small_batches(spark, 1024)
@@ -371,22 +490,30 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     runs = materialise(base.mapInArrow(_runs(length), "doc_id long, th long, key long, dig long, lo int, n int"), "runs")
     runs, ranges = runs.withColumn("weight", F.lit(1).cast("long")), []
     for width in (*WIDTHS, None):
-        found, hot = _settle(base, runs, length)
+        # At a width of 1 a key has one context, but for a clash of 64-bit hashes: what has two is compared in one task.
+        found, hot = _settle(base, runs, length, split=width is not None)
         ranges += found
         if hot is None:
             break
-        # At a width of 1 contexts with one key are equal, so no key is hot; a loop that goes on would be a fault.
-        if width is None:
-            raise RuntimeError("different windows share a 64-bit key")
         pieces = _asked(base, hot, hot.count()).mapInArrow(_narrow(width, length), "doc_id long, th long, key long, dig long, lo int, n int, weight long")
         runs = materialise(pieces, "narrow")
-    # Ranges of two lists can be equal while only one says once, so a list's number tells them apart.
-    told = reduce(DataFrame.union, [r.withColumn("list", F.lit(i)) for i, r in enumerate(ranges)])
-    told = told.groupBy("doc_id", "th", "a", "b", "list").agg(F.max("once").alias("once")).where("not once")
-    each = told.groupBy("doc_id", "th").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("s"))
-    typed = "array<struct<a:int,b:int>>"
-    joined = F.aggregate("s", F.array().cast(typed), lambda acc, x: F.when((F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["b"] >= x["a"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.get(acc, F.size(acc) - 1)["a"].alias("a"), F.greatest(F.get(acc, F.size(acc) - 1)["b"], x["b"]).alias("b"))))).otherwise(F.concat(acc, F.array(x))))
-    return materialise(each.select("doc_id", "th", joined.alias("spans")), "spans")
+    each = reduce(DataFrame.union, ranges).groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+
+    def run(batches):
+        for b in batches:
+            lists, i = b.column("spans"), b.schema.get_field_index("spans")
+            a, z, at = lists.values.field("a").to_numpy(), lists.values.field("b").to_numpy(), lists.offsets.to_numpy()
+            ends, firsts, lasts = [0], [], []
+            for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                order = np.argsort(a[lo:hi], kind="stable")
+                x, y = _joined(a[lo:hi][order], z[lo:hi][order])
+                firsts.append(x)
+                lasts.append(y)
+                ends.append(ends[-1] + len(x))
+            pair = pa.StructArray.from_arrays([pa.array(np.concatenate(v or [np.zeros(0, np.int32)]), pa.int32()) for v in (firsts, lasts)], ["a", "b"])
+            yield b.set_column(i, "spans", pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pair))
+
+    return materialise(each.mapInArrow(run, "doc_id long, th long, spans array<struct<a:int,b:int>>"), "spans")
 
 
 def _asked(base: DataFrame, reps: DataFrame, rows: int) -> DataFrame:
@@ -396,17 +523,48 @@ def _asked(base: DataFrame, reps: DataFrame, rows: int) -> DataFrame:
     return base.join(_small(wanted, rows), F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("th") == F.col("w_th"))).select("doc_id", "th", "text", "wanted")
 
 
-def _settle(base: DataFrame, runs: DataFrame, length: int) -> tuple[list[DataFrame], DataFrame | None]:
-    """Lists of byte ranges ``doc_id, th, a, b, once``, repeated but where one of a list says ``once``; contexts of hot keys, if any."""
-    keys = runs.groupBy("key").agg(F.sum("weight").alias("c"), (F.min("dig") == F.max("dig")).alias("alone")).where("c > 1").select("key", "alone")
-    keys = materialise(keys, "keys")
-    again = materialise(runs.join(_small(keys, keys.count()), "key"), "again")
+def _frequent(runs: DataFrame, keys: DataFrame, length: int) -> tuple[DataFrame, list[DataFrame]] | None:
+    """Contexts of frequent keys, and the ranges of runs whose context stands in two places; None if too many keys.
 
+    The keys, then their repeated contexts, go to the workers as sorted tables of at most ``LOOKUP_KEYS`` entries, so a
+    place that holds a string of thousands is neither joined nor written on its own: weights are summed and neighbouring
+    ranges joined where the runs are read.
+    """
+    spark = runs.sparkSession
+    frequent = keys.where(F.col("c") > FREQUENT)
+    if not 0 < frequent.count() <= LOOKUP_KEYS:
+        return None
+    table_ = spark.sparkContext.broadcast(_Lookup(frequent.select("key", "alone").toArrow(), ["key"], "alone"))
+    schema = "key long, dig long, alone boolean, weight long, doc_id long, th long, lo int, n int"
+    seen = runs.select("doc_id", "th", "key", "dig", "lo", "n", "weight").mapInArrow(_collapsed(table_), schema)
+    seen = seen.groupBy("key", "dig", "alone").agg(F.sum("weight").alias("weight"), F.min(F.struct("doc_id", "th", "lo", "n")).alias("r"))
+    seen = materialise(seen.select("key", "dig", "alone", "weight", "r.*"), "frequent")
+    twice = seen.where("weight > 1").select("key", "dig")
+    many = twice.count()
+    if many > LOOKUP_KEYS:
+        return None
+    if not many:
+        return seen, []
+    pairs = spark.sparkContext.broadcast(_Lookup(twice.toArrow(), ["key", "dig"]))
+    return seen, [runs.select("doc_id", "th", "key", "dig", "lo", "n").mapInArrow(_covered(pairs, length), "doc_id long, th long, a int, b int")]
+
+
+def _settle(base: DataFrame, runs: DataFrame, length: int, split: bool) -> tuple[list[DataFrame], DataFrame | None]:
+    """Tables ``doc_id, th, a, b`` of byte ranges that are repeated, and the contexts of hot keys, if any (``split``)."""
+    keys = runs.groupBy("key").agg(F.sum("weight").alias("c"), (F.min("dig") == F.max("dig")).alias("alone")).where("c > 1")
+    keys = materialise(keys, "keys")
+    frequent = _frequent(runs, keys, length)
+    rare = keys.where(F.col("c") <= FREQUENT) if frequent else keys
+    again = materialise(runs.join(_small(rare.select("key", "alone"), rare.count()), "key"), "again")
     reps = again.where("not alone").groupBy("key", "dig").agg(F.sum("weight").alias("weight"), F.min(F.struct("doc_id", "th", "lo", "n")).alias("r"))
-    reps = materialise(reps.select("key", "dig", "weight", "r.*"), "contexts")
-    crowded = reps.groupBy("key").agg(F.sum("n").alias("windows")).where(F.col("windows") > HOT_WINDOWS).select("key")
-    crowded = materialise(crowded, "crowded")
-    rows, many = reps.count(), crowded.count()
+    reps, ranges = reps.select("key", "dig", "weight", "r.*"), []
+    if frequent:
+        reps = reps.union(frequent[0].where("not alone").select(reps.columns))
+        ranges += frequent[1]
+    reps = materialise(reps, "contexts")
+    size = F.sum(F.col("n") + length).alias("bytes")
+    crowded = materialise(reps.groupBy("key").agg(size).where(F.col("bytes") > HOT_BYTES).select("key"), "crowded") if split else None
+    rows, many = reps.count(), crowded.count() if split else 0
     few, hot = reps, None
     if many:
         few = reps.join(_small(crowded, many), "key", "left_anti")
@@ -421,9 +579,10 @@ def _settle(base: DataFrame, runs: DataFrame, length: int) -> tuple[list[DataFra
     once = reps.where("weight = 1")
     place = ["doc_id", "th", F.col("lo").alias("a"), (F.col("lo") + F.col("n") - 1 + length).alias("b")]
     whole = again.select(*place, F.lit(False).alias("once")).union(once.select(*place, F.lit(True)))
+    whole = whole.groupBy("doc_id", "th", "a", "b").agg(F.max("once").alias("once")).where("not once").drop("once")
     part = once.join(_small(found, _listed(found, "ranges")), ["key", "dig"]).select("doc_id", "th", "lo", F.explode("ranges").alias("r"))
-    part = part.select("doc_id", "th", (F.col("lo") + F.col("r.a")).alias("a"), (F.col("lo") + F.col("r.b") - 1 + length).alias("b"), F.lit(False).alias("once"))
-    return [whole, part], hot
+    part = part.select("doc_id", "th", (F.col("lo") + F.col("r.a")).alias("a"), (F.col("lo") + F.col("r.b") - 1 + length).alias("b"))
+    return [*ranges, whole, part], hot
 
 
 def _with_spans(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str) -> DataFrame:

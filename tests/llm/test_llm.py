@@ -155,9 +155,11 @@ def brute_repeats(blobs, n):
     return out
 
 
-@pytest.mark.parametrize("hot", [suffix_dedup.HOT_WINDOWS, 600, 0])
-def test_repeats_by_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(suffix_dedup, "HOT_WINDOWS", hot)
+@pytest.mark.parametrize(("hot", "frequent", "lookup"), [(suffix_dedup.HOT_BYTES, 32, 500_000), (3000, 1, 500_000), (0, 2, 0), (0, 1, 500_000)])
+def test_repeats_by_brute_force(spark, monkeypatch, hot, frequent, lookup):
+    monkeypatch.setattr(suffix_dedup, "HOT_BYTES", hot)
+    monkeypatch.setattr(suffix_dedup, "FREQUENT", frequent)
+    monkeypatch.setattr(suffix_dedup, "LOOKUP_KEYS", lookup)
     r = random.Random(4)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7)))
     parts = [" ".join(word() for _ in range(r.randint(5, 200))) for _ in range(12)]
@@ -195,17 +197,48 @@ def test_narrowed_runs_of_equal_windows_meet():
 
 def test_merged_transforms_are_in_order():
     r = random.Random(6)
-    blobs = [bytes(r.choice(b"ab") for _ in range(300)) for _ in range(6)]
-    parts = []
-    for k in (0, 3):
-        data = b"\0" + b"".join(blobs[k : k + 3]) + b"\0" * 70
-        parts.append(suffix_dedup.Transform.build(np.frombuffer(data, np.uint8), np.arange(1, 901), np.zeros(900, np.int64), 64))
-    which, index, lcp = suffix_dedup.merge(parts, 64)
-    rows = [bytes(parts[w].data[parts[w].at[i] : parts[w].at[i] + 64]) for w, i in zip(which, index, strict=True)]
-    assert rows == sorted(rows)
-    for a, b, n in zip(rows, rows[1:], lcp[1:], strict=False):
-        same = next((k for k in range(64) if a[k] != b[k]), 64)
-        assert n == same
+    blobs = [bytes(r.choice(b"ab") for _ in range(r.randint(1, 300))) for _ in range(9)] + [b"abab" * 40] * 2
+    groups = np.array([0, 1, 0, 0, 1, 0, 1, 1, 0, 1, 1], np.int32)
+    parts, texts = [], []
+    for k in (slice(0, 4), slice(4, 5), slice(5, 11)):
+        parts.append(suffix_dedup.Transform.build(blobs[k], groups[k]))
+        texts.append(b"\0".join(blobs[k]) + b"\0")
+    for t, text in zip(parts, texts, strict=True):  # a transform has the symbols before the suffixes in order
+        assert t.bwt.tolist() == [text[p - 1] + 1 if p and text[p - 1] else 0 for p in t.at.tolist()]
+    for length in (1, 2, 7, 64, 100):
+        which, index, common = suffix_dedup.merge(parts, length)
+        rows = [(int(parts[w].group[i]), texts[w][parts[w].at[i] :].split(b"\0")[0][:length]) for w, i in zip(which, index, strict=True)]
+        assert rows == sorted(rows) and len(set(zip(which.tolist(), index.tolist(), strict=True))) == sum(map(len, texts))
+        for (g, a), (h, b), n in zip(rows, rows[1:], common[1:].tolist(), strict=False):
+            same = next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
+            assert n == -1 if g != h else (n == length if a == b else n <= same < length and (n == 0 or same <= 2 * n))
+
+
+def test_merge_reads_symbols_alone():
+    """The merge gets no text: shards whose places are taken away merge in the same order."""
+    blobs = [b"to be or not to be", b"not to be", b"or not to be"]
+    parts = [suffix_dedup.Transform.build([b], np.zeros(1, np.int32)) for b in blobs]
+    want = suffix_dedup.merge(parts, 5)
+    bare = [suffix_dedup.Transform(p.bwt, p.group, None) for p in parts]
+    assert all((x == y).all() for x, y in zip(want, suffix_dedup.merge(bare, 5), strict=True))
+
+
+def test_pipeline_cuts_passages_of_over_fifty_words(spark):
+    import corpus_pipeline
+
+    r = random.Random(31)
+    words = lambda n: " ".join("".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 6))) for _ in range(n))
+    passages_ = [words(60) for _ in range(4)]
+    assert all(len(p) < 400 for p in passages_)
+    texts = [words(40) + " " + p + " " + words(40) for p in passages_ for _ in range(3)] + [words(100) for _ in range(5)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {x["doc_id"]: x for x in corpus_pipeline.drop_repeats(spark, df, DATA).collect()}
+    for i, t in enumerate(texts):
+        assert got[i]["n_chars"] == len(got[i]["text"])
+        if i < 12:
+            assert passages_[i // 3] not in got[i]["text"] and len(got[i]["text"]) < len(t) - len(passages_[i // 3]) + 3
+        else:
+            assert got[i]["text"] == t
 
 
 def test_packing_places_everything_once(spark):
