@@ -19,6 +19,10 @@ LEAST_QUALITY = 0.5
 #: Texts are near copies if so large a share of their five-word shingles is common.
 NEAR = 0.8
 
+#: Bytes of a string that is cut out where it repeats: about 50 short words, so that any passage of over 50 words that
+#: texts share holds one. (The operator's own default of 400 bytes is longer than many such passages.)
+REPEAT = 240
+
 #: SQL can't express the trained first stage.
 ORACLE_SQL = None
 
@@ -43,9 +47,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the strings that also start elsewhere; a text that is used up stays, empty."""
+    """Texts without the strings of ``REPEAT`` bytes that also start elsewhere; a text that is used up stays, empty."""
     clear_scratch(spark)
-    return suffix_dedup.rewrite(docs)
+    return suffix_dedup.rewrite(docs, REPEAT)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
