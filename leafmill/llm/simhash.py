@@ -6,6 +6,8 @@ sets is asked for, texts that share a band of minima are compared too, and linke
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -21,10 +23,15 @@ HOT_BLOCK = 4096
 HOT_BITS = 6
 #: Bands of so many minima: texts of similarity s share one with probability 1 - (1 - s ** MINIMA) ** BANDS (0.9996 at 0.8).
 BANDS, MINIMA = 20, 5
+#: Texts of a band, and bytes of their sets, that a task holds; a larger band is compared in pairs of such blocks.
+BLOCK_TEXTS, BLOCK_BYTES = 2048, 16_000_000
+#: Such a band is first dealt out again if its texts would make more pairs across components than so many for each ...
+PAIRS_EACH = 16
+#: ... by so many further bands of more minima (0.975 of the pairs at 0.8 share one), at most so many times.
+SUB_BANDS, SUB_MINIMA, LEVELS = 12, 6, 3
 #: Rows up to which the texts to compare are named by a broadcast (8 bytes each).
 BROADCAST_TEXTS = 500_000
 
-_MIX = np.random.RandomState(91).randint(1, 1 << 62, (3, BANDS * MINIMA), dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -61,16 +68,25 @@ def fingerprint(text: str, words: int, seed: int = 42) -> int:
     return majority(shingles(text, words, seed))
 
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
+@cache
+def _mixers(level: int) -> tuple[int, np.ndarray]:
+    """Bands of a level, and the constants of its minima."""
+    bands, minima = (SUB_BANDS, SUB_MINIMA) if level else (BANDS, MINIMA)
+    odd = np.random.RandomState(91 + level).randint(1, 1 << 62, (3, bands * minima), dtype=np.int64)
+    return bands, odd.astype(np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def band_keys(hashes: np.ndarray, level: int = 0) -> np.ndarray:
     """A key for each band of minima of a set of shingles; an empty set has none."""
     if not len(hashes):
         return np.zeros(0, np.int64)
-    least = np.full(BANDS * MINIMA, ~np.uint64(0))
+    n, mix = _mixers(level)
+    least = np.full(mix.shape[1], ~np.uint64(0))
     for at in range(0, len(hashes), 4096):
-        h = (hashes[at : at + 4096, None] ^ _MIX[0]) * _MIX[1]
+        h = (hashes[at : at + 4096, None] ^ mix[0]) * mix[1]
         h ^= h >> np.uint64(31)
-        np.minimum(least, (h * _MIX[2]).min(axis=0), out=least)
-    bands = least.astype("<u8").reshape(BANDS, MINIMA)
+        np.minimum(least, (h * mix[2]).min(axis=0), out=least)
+    bands = least.astype("<u8").reshape(n, -1)
     return np.array([xxhash.xxh64_intdigest(b.tobytes(), i) for i, b in enumerate(bands)], np.uint64).view(np.int64)
 
 
@@ -244,14 +260,23 @@ def _signatures(docs: DataFrame, words: int, id_col: str, text_col: str) -> Data
     return texts(docs, id_col, text_col).withColumn("th", F.xxhash64("text")).mapInArrow(run, "doc_id long, th long, fp long, n int, keys array<long>")
 
 
-def _alike(docs: DataFrame, pairs: DataFrame, words: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """``u, v`` of the ``pairs`` (texts ``a, b``, their fingerprints ``u, v``) whose shingle sets are similar enough."""
+def _sets(docs: DataFrame, asked: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """``th, found``: the different shingles of the texts that ``asked`` names, as sorted 64-bit integers."""
 
     def sets(batches):
         for b in batches:
             found = [np.unique(shingles(t, words)).tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("th"), pa.array(found, pa.binary())], ["th", "found"])
 
+    asked = materialise(asked.distinct(), "asked")
+    asked = F.broadcast(asked) if asked.count() <= BROADCAST_TEXTS else asked
+    base = texts(docs, id_col, text_col).select(F.xxhash64("text").alias("th"), "text")
+    return materialise(base.join(asked, "th", "left_semi").mapInArrow(sets, "th long, found binary").dropDuplicates(["th"]), "sets")
+
+
+def _alike(docs: DataFrame, pairs: DataFrame, words: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """``u, v`` of the ``pairs`` (texts ``a, b``, their fingerprints ``u, v``) whose shingle sets are similar enough."""
+
     def compare(batches):
         for b in batches:
             good = []
@@ -262,38 +287,137 @@ def _alike(docs: DataFrame, pairs: DataFrame, words: int, similarity: float, id_
             yield b.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
     pairs = materialise(pairs, "pairs")
-    asked = pairs.select(F.col("a").alias("th")).union(pairs.select("b")).distinct()
-    asked = F.broadcast(asked) if asked.count() <= BROADCAST_TEXTS else asked
-    base = texts(docs, id_col, text_col).select(F.xxhash64("text").alias("th"), "text")
-    found = materialise(base.join(asked, "th", "left_semi").mapInArrow(sets, "th long, found binary").dropDuplicates(["th"]), "sets")
+    found = _sets(docs, pairs.select(F.col("a").alias("th")).union(pairs.select("b")), words, id_col, text_col)
     side = lambda name, to: found.select(F.col("th").alias(name), F.col("found").alias(to))
     return pairs.join(side("b", "y"), "b").join(side("a", "x"), "a").select("u", "v", "x", "y").mapInArrow(compare, "u long, v long")
 
 
+def linked_sets(sets: list[np.ndarray], label: np.ndarray, similarity: float) -> np.ndarray:
+    """Least linked index of each set, where sets of one ``label`` are linked, and sets that are similar enough.
+
+    Only a set outside the largest class is compared, with all others at once by an index of their elements: of two
+    sets in different classes one is outside the largest, so no link is lost.
+    """
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    owner, values = np.repeat(np.arange(len(sets)), size), np.concatenate(sets)
+    order = np.argsort(values, kind="stable")
+    cut = np.append(True, values[order][1:] != values[order][:-1])
+    posting, start = owner[order], np.flatnonzero(cut)
+    count = np.diff(np.append(start, len(values)))
+    element = np.empty(len(values), np.int64)
+    element[order] = np.cumsum(cut) - 1
+    first = np.cumsum(size) - size
+    _, once, which = np.unique(label, return_index=True, return_inverse=True)
+    label = once[which]
+    for i in range(len(sets)):
+        if label[i] == np.bincount(label).argmax():
+            continue
+        own = element[first[i] : first[i] + size[i]]
+        n = count[own]
+        at = np.repeat(start[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        both = np.bincount(posting[at], minlength=len(sets))
+        near = np.flatnonzero(both >= similarity * (size + size[i] - both))
+        merged = np.unique(label[near])
+        label[np.isin(label, merged)] = merged[0]
+    return label
+
+
+def _solved(similarity: float):
+    """Members of bands or of pairs of their blocks, in order, with their sets -> links of those that are similar."""
+
+    def solve(rows):
+        _, _, _, fp, root, found = zip(*rows, strict=True)
+        root = np.array(root, np.int64)
+        if (root == root[0]).all():
+            return None
+        label = linked_sets([np.frombuffer(x, "<u8") for x in found], root, similarity)
+        fp = np.array(fp, np.int64)
+        moved = fp != fp[label]
+        return pa.RecordBatch.from_arrays([pa.array(fp[moved]), pa.array(fp[label[moved]])], ["u", "v"])
+
+    def run(batches):
+        held = []
+        for b in batches:
+            for row in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+                if held and row[:3] != held[0][:3]:
+                    if (got := solve(held)) is not None:
+                        yield got
+                    held = []
+                held.append(row)
+        if held and (got := solve(held)) is not None:
+            yield got
+
+    return run
+
+
+def _dealt_again(docs: DataFrame, hot: DataFrame, level: int, words: int, id_col: str, text_col: str) -> DataFrame:
+    """Members of hot bands in further bands below them: ``key, th, fp, n``."""
+
+    def run(batches):
+        for b in batches:
+            rows, keys = [], []
+            for i, (text, old) in enumerate(zip(b.column("text").to_pylist(), b.column("keys").to_pylist(), strict=True)):
+                new = band_keys(np.unique(shingles(text, words)), level)
+                for k in old:
+                    rows.append(np.full(len(new), i))
+                    keys.append((new ^ np.int64(k)) * np.int64(0x2545F4914F6CDD1D))
+            at = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)), *(b.column(c).take(at) for c in ("th", "fp", "n"))], ["key", "th", "fp", "n"])
+
+    asked = materialise(hot.groupBy("th", "fp", "n").agg(F.collect_list("key").alias("keys")), "hot")
+    asked = F.broadcast(asked) if hot.count() <= BROADCAST_TEXTS else asked
+    base = texts(docs, id_col, text_col).select(F.xxhash64("text").alias("th"), "text")
+    found = base.join(asked, "th").dropDuplicates(["th"]).select("th", "fp", "n", "keys", "text")
+    return found.mapInArrow(run, "key long, th long, fp long, n int")
+
+
 def _linked_alike(docs: DataFrame, rows: DataFrame, roots: DataFrame, words: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
     """Components of fingerprints ``(node, root)``: those in ``roots``, joined by pairs of texts that are similar enough.
 
-    Texts with a band in common are compared: first each with the least of its band, then all that the bands still
-    hold in different components. Pairs in one component have no link to add, so a band of near copies takes about
-    as many comparisons as it has texts.
+    Texts with a band in common are compared: first each with the least of its band, then those that the band still
+    holds in different components. Pairs in one component have no link to add, so a band of near copies takes about as
+    many comparisons as it has texts. The second step's texts meet in a task with their sets (``linked_sets``), never
+    as pairs of rows. A band too large for a task is dealt out again by further minima, which texts that share a passage
+    and little else hardly have in common; what is still too large after ``LEVELS`` times is compared in pairs of blocks.
     """
-    members = materialise(rows.where("n > 0").select("th", "fp", "n", "keys").dropDuplicates(["th"]).select("th", "fp", "n", F.explode("keys").alias("key")), "bands")
-    shared = members.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    members = materialise(members.join(shared, "key"), "bands")
-    for every in (False, True):
-        roots = materialise(roots, "roots")
-        now = members.join(roots, members.fp == roots.node, "left").select("key", "th", "fp", "n", F.coalesce("root", "fp").alias("root"))
+    members, level = rows.where("n > 0").select("th", "fp", "n", "keys").dropDuplicates(["th"]).select(F.explode("keys").alias("key"), "th", "fp", "n"), 0
+
+    def rooted():
+        return members.join(roots, members.fp == roots.node, "left").select("key", "th", "fp", "n", F.coalesce("root", "fp").alias("root"))
+
+    def with_links(more):
+        return materialise(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more)), "roots")
+
+    roots = materialise(roots, "roots")
+    while True:
+        members = materialise(members, "bands")
+        shared = members.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+        members = materialise(members.join(shared, "key"), "bands")
+        now = rooted()
         mixed = now.groupBy("key").agg(F.min(F.struct("th", "fp", "n", "root")).alias("one"), F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s")
-        if every:
-            left = now.join(mixed.select("key"), "key", "left_semi")
-            pairs = left.select("key", F.struct("th", "fp", "n", "root").alias("one")).join(left, "key").where("one.th < th")
-        else:
-            pairs = now.join(mixed.select("key", "one"), "key")
-        fits = (F.col("root") != F.col("one.root")) & (F.least("n", "one.n") >= similarity * F.greatest("n", "one.n") - 1e-6)
+        pairs = now.join(mixed.select("key", "one"), "key")
+        fits = (F.col("one.root") != F.col("root")) & (F.least("n", "one.n") >= similarity * F.greatest("n", "one.n") - 1e-6)
         pairs = pairs.where(fits).select(F.col("one.th").alias("a"), F.col("th").alias("b"), F.col("one.fp").alias("u"), F.col("fp").alias("v")).distinct()
-        more = _alike(docs, pairs, words, similarity, id_col, text_col)
-        roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
-    return roots
+        roots = with_links(_alike(docs, pairs, words, similarity, id_col, text_col))
+
+        now = rooted()
+        parts = now.groupBy("key", "root").agg(F.count("*").alias("m"), F.sum("n").alias("k"))
+        blocks = F.ceil(F.greatest(F.sum("m") / BLOCK_TEXTS, 8 * F.sum("k") / BLOCK_BYTES))
+        many = F.sum("m") ** 2 - F.sum(F.col("m") ** 2) > 2 * PAIRS_EACH * F.sum("m")
+        sizes = parts.groupBy("key").agg(blocks.alias("blocks"), (many & F.lit(level < LEVELS)).alias("many"), F.count("*").alias("parts")).where("parts > 1")
+        left = materialise(now.join(sizes.select("key", "blocks", (F.col("many") & (F.col("blocks") > 1)).alias("hot")), "key"), "mixed")
+        block = F.pmod(F.xxhash64("th", F.lit(level)), F.col("blocks"))
+        dealt = left.where("not hot").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        dealt = dealt.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "fp", "root", "th")
+        found = _sets(docs, dealt.select("th"), words, id_col, text_col)
+        dealt = dealt.join(found, "th").select("key", "x", "y", "fp", "root", "found")
+        dealt = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+        roots = with_links(dealt.mapInArrow(_solved(similarity), "u long, v long"))
+        level += 1
+        hot = left.where("hot").select("key", "th", "fp", "n")
+        if not hot.limit(1).count():
+            return roots
+        members = _dealt_again(docs, hot, level, words, id_col, text_col)
 
 
 def near_groups(docs: DataFrame, words: int = 5, budget: int = 3, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:

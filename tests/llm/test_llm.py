@@ -109,6 +109,30 @@ def test_similar_shingles_are_linked_by_brute_force(spark):
     assert [got[i] for i in range(len(docs))] == label
 
 
+@pytest.mark.parametrize(("block", "levels"), [(2048, 3), (40, 2), (40, 0)])
+def test_large_bands_are_linked_by_brute_force(spark, monkeypatch, block, levels):
+    """Texts that are half one passage, and noisy copies of one text: in a task, dealt out again, or in pairs of blocks."""
+    monkeypatch.setattr(simhash, "BLOCK_TEXTS", block)
+    monkeypatch.setattr(simhash, "PAIRS_EACH", 3)
+    monkeypatch.setattr(simhash, "LEVELS", levels)
+    r = random.Random(19)
+    words = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    passage, base = words(60), words(150)
+    docs = [passage + words(r.randint(20, 40)) for _ in range(80)]
+    docs += [[w if r.random() > 0.01 else "edit" for w in d] for d in docs[:20]]
+    docs += [[w if r.random() > 0.025 else f"e{r.randrange(10**6)}" for w in base] for _ in range(90)]
+    sets = [{tuple(d[i : i + 5]) for i in range(len(d) - 4)} for d in docs]
+    label = list(range(len(docs)))
+    for i in range(len(docs)):
+        for j in range(i):
+            if label[i] != label[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    df = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    got = {x["doc_id"]: x["component_id"] for x in simhash.near_groups(df, words=5, similarity=0.8).collect()}
+    assert [got[i] for i in range(len(docs))] == label and 90 < len(set(label)) < 185
+
+
 def test_bpe_is_tiktoken():
     import public_tokenizers as P
     import tiktoken
