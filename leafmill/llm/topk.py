@@ -16,8 +16,9 @@ STEP = 1.05
 #: Rows of a block of candidates or of queries: what one task holds of either at a time.
 BLOCK = 4096
 QUERY_BLOCK = 1024
-#: Parts of the candidates that each block of queries meets in tasks of their own.
-SHARDS = 6
+#: Candidates of a part that a block of queries meets in a task of its own; there are six parts at least.
+SHARD_ROWS = 64 * BLOCK
+LEAST_SHARDS = 6
 #: Coordinate pruning looks at this many of a query's largest components first.
 FOCUS = 8
 
@@ -27,7 +28,7 @@ def _pack(kind: int):
 
     def one(group: pa.Table) -> pa.Table:
         ids = group["vec_id"].to_numpy()
-        x = np.array(group["x"].to_pylist(), np.int64).reshape(len(ids), -1)
+        x = np.array(group["x"].to_pylist(), np.int64).reshape(len(ids), group["dim"][0].as_py())
         order = np.argsort(ids, kind="stable")
         return pa.table({"kind": pa.array([kind], pa.int32()), "block": pa.array([group["block"][0].as_py()], pa.int64()), "bucket": pa.array([group["bucket"][0].as_py()], pa.int64()), "ids": pa.array([ids[order].astype("<i8").tobytes()]), "vectors": pa.array([x[order].astype("<i8").tobytes()]), "dim": pa.array([x.shape[1]], pa.int32())})
 
@@ -105,7 +106,8 @@ class _Search:
 def top_products(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """The ``k`` highest integer inner products of each query among ``vectors``: ``query_id, rank, vec_id, score``.
 
-    Both take ``vec_id long`` and ``x array<long>``, of one length. Candidates are grouped by length into buckets of
+    Both take ``vec_id long`` and ``x array<long>``. Vectors of different lengths have no product and never meet; two empty
+    ones have the product 0. Candidates are grouped by length into buckets of
     a factor of 1.05, and large buckets (a hot length, or many copies of a vector) into blocks of a bounded size.
     A task takes a block of queries through a shard of the blocks, longest vectors first, so that a query's kth score
     soon closes the buckets that follow; only k rows a query leave each shard. Nothing is approximate.
@@ -114,32 +116,33 @@ def top_products(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFram
     candidate (all rows of its id are left out). Ties go to the smaller id; of a repeated row each counts. A table
     without queries gives an empty result, a query without candidates no row. Other columns are not read.
     """
-    usable = lambda df: df.where("vec_id is not null and x is not null and not exists(x, v -> v is null)").select(F.col("vec_id").cast("long").alias("vec_id"), "x")
+    usable = lambda df: df.where("vec_id is not null and x is not null and not exists(x, v -> v is null)").select(F.col("vec_id").cast("long").alias("vec_id"), "x", F.size("x").alias("dim"))
     norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, v: a + v.cast("double") * v))
     c = usable(vectors).withColumn("norm", norm).withColumn("bucket", F.when(F.col("norm") > 0, F.floor(F.log("norm") / math.log(STEP))).otherwise(-1).cast("long"))
     c = materialise(c, "vectors")
-    sizes = c.groupBy("bucket").agg(F.count("*").alias("n"))
+    sizes = materialise(c.groupBy("dim", "bucket").agg(F.count("*").alias("n")), "sizes")
+    shards = max(LEAST_SHARDS, -(-(sizes.agg(F.sum("n")).first()[0] or 0) // SHARD_ROWS))
     # A bucket of n rows becomes ceil(n / BLOCK) blocks, filled by a checksum of the id.
-    c = c.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.ceil(F.col("n") / BLOCK)).cast("long"))
-    c_blocks = c.select("bucket", "block", "vec_id", "x").groupBy("bucket", "block").applyInArrow(_pack(1), PACKED)
+    c = c.join(sizes, ["dim", "bucket"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.ceil(F.col("n") / BLOCK)).cast("long"))
+    c_blocks = c.select("dim", "bucket", "block", "vec_id", "x").groupBy("dim", "bucket", "block").applyInArrow(_pack(1), PACKED)
     q = usable(queries)
     n_blocks = max(1, -(-q.count() // QUERY_BLOCK))
     q = q.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(n_blocks)).cast("long")).withColumn("bucket", F.lit(0).cast("long"))
-    q_blocks = q.select("bucket", "block", "vec_id", "x").groupBy("bucket", "block").applyInArrow(_pack(0), PACKED)
+    q_blocks = q.select("dim", "bucket", "block", "vec_id", "x").groupBy("dim", "bucket", "block").applyInArrow(_pack(0), PACKED)
     # Each block of queries meets each shard of candidates in one task: blocks travel, not rows or pairs.
-    shard = F.pmod(F.xxhash64("bucket", "block"), F.lit(SHARDS)).cast("int")
+    shard = F.pmod(F.xxhash64("bucket", "block"), F.lit(shards)).cast("int")
     left = c_blocks.withColumn("shard", shard).withColumn("qblock", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
-    right = q_blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(SHARDS - 1)))).withColumn("qblock", F.col("block"))
-    met = left.unionByName(right).repartition("qblock", "shard").sortWithinPartitions("qblock", "shard", "kind", F.desc("bucket"), "block")
+    right = q_blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("qblock", F.col("block"))
+    met = left.unionByName(right).repartition("dim", "qblock", "shard").sortWithinPartitions("dim", "qblock", "shard", "kind", F.desc("bucket"), "block")
 
     def run(batches):
         key, search = None, None
         for b in batches:
             for row in b.to_pylist():
-                if (row["qblock"], row["shard"]) != key:
+                if (row["dim"], row["qblock"], row["shard"]) != key:
                     if search:
                         yield search.rows()
-                    key, search = (row["qblock"], row["shard"]), None
+                    key, search = (row["dim"], row["qblock"], row["shard"]), None
                 ids = np.frombuffer(row["ids"], "<i8")
                 x = np.frombuffer(row["vectors"], "<i8").reshape(len(ids), row["dim"])
                 if row["kind"] == 0:
@@ -149,9 +152,13 @@ def top_products(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFram
         if search:
             yield search.rows()
 
-    met.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")  # blocks are large
-    part = materialise(met.mapInArrow(run, "query_id long, vec_id long, score long"), "topk")
-    met.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    conf, setting = met.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(setting)
+    conf.set(setting, "8")  # blocks are large
+    try:
+        part = materialise(met.mapInArrow(run, "query_id long, vec_id long, score long"), "topk")
+    finally:
+        conf.set(setting, before)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return part.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
