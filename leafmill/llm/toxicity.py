@@ -21,11 +21,12 @@ TRAIN_ROWS = 6000
 TRAIN_CHARS = 20_000
 #: Weights of hashed word features.
 BUCKETS = 1 << 18
-#: A chain is a line of the text; a longer line is cut into chains of so many tokens.
-CHAIN = 256
 #: Words whose evidence a worker remembers.
 REMEMBERED = 500_000
 
+#: How much more often toxic texts use a type that tells them.
+LIFT = 8.0
+
 _EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»¿¡…“”„’"
 
 
@@ -34,14 +35,14 @@ def word_features(token: str) -> list[int]:
     w = token.strip(_EDGES)
     if not w:
         return []
-    names = ["w" + w, "4" + w[:4], "5" + w[:5], "6" + w[:6], "s" + w[-3:]]
+    names = ["w" + w, "4" + w[:4], "5" + w[:5], "7" + w[:7], "s" + w[-3:]]
     return [zlib.crc32(n.encode("utf-8", "replace")) % BUCKETS for n in names]
 
 
-def chains(lines: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and lengths of the chains of consecutive token lists."""
-    sizes = [min(CHAIN, len(x) - at) for x in lines for at in range(0, len(x), CHAIN)]
-    lengths = np.array(sizes, np.int64)
+def chains(lines: list) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the chains of consecutive token lists: a chain is a whole line, however long."""
+    lengths = np.fromiter(map(len, lines), np.int64, len(lines))
+    lengths = lengths[lengths > 0]
     return np.cumsum(lengths) - lengths, lengths
 
 
@@ -74,11 +75,13 @@ class Tagger:
         return np.array(out)
 
     def document_features(self, p: np.ndarray, docs: np.ndarray, n: int) -> np.ndarray:
-        most, total = np.zeros(n), np.zeros(n)
+        """Of each document: one, its highest marginal's log-odds, its expected toxic tokens and their share, as logs."""
+        most = np.zeros(n)
         np.maximum.at(most, docs, p)
-        total += np.bincount(docs, np.where(p > 0.05, p, 0.0), minlength=n)
+        total = np.bincount(docs, np.where(p > 0.05, p, 0.0), minlength=n)
+        size = np.bincount(docs, minlength=n)
         most = np.clip(most, 1e-6, 1 - 1e-6)
-        return np.stack([np.ones(n), np.log(most / (1 - most)), np.log1p(total)], 1)
+        return np.stack([np.ones(n), np.log(most / (1 - most)), np.log1p(total), np.log((total + 0.05) / (size + 20))], 1)
 
     def tag(self, batch: list[list[list[str]]]) -> tuple[np.ndarray, np.ndarray]:
         """Marginals of all tokens of a batch of tokenised documents, and the document of each."""
@@ -93,24 +96,36 @@ class Tagger:
         return sigmoid(self.document_features(p, docs, len(batch)) @ self.scale), p, docs
 
 
-def token_types(token: str) -> tuple[str, str, str]:
-    """A token's word and two beginnings of it; a short word stands for its beginnings too."""
+def token_types(token: str) -> tuple[str, ...]:
+    """A token's word and three beginnings of it; a short word stands for its beginnings too."""
     w = token.strip(_EDGES)
-    return ("w" + w, "5" + w[:5], "4" + w[:4]) if len(w) > 4 else ("w" + w,) * 3
+    return ("w" + w, *(str(k) + w[:k] if len(w) > k else "w" + w for k in (4, 5, 7)))
 
 
 def toxic_types(types_of: np.ndarray, docs: list[np.ndarray], labels: list[int], n_types: int) -> np.ndarray:
-    """Flags of types that hardly any but toxic texts hold: tokens of them are labelled toxic.
+    """Flags of types that toxic texts hold far more often than others: tokens of them are labelled toxic.
 
-    A type has to be in so many toxic texts that, among all types, chance would hardly bring one about.
+    A text's uses of a type count up to four. A type has to be in four toxic texts, to be used ``LIFT`` times as often
+    by toxic texts as by others, and so often that, among all types, chance would hardly bring one about.
     """
-    counts = np.zeros((2, n_types), np.int64)
+    counts, held = np.zeros((2, n_types), np.int64), np.zeros(n_types, np.int64)
     for ids, y in zip(docs, labels, strict=True):
-        counts[y, np.unique(types_of[np.unique(ids)])] += 1
+        words, uses = np.unique(ids, return_counts=True)
+        own = types_of[words]
+        repeat = own[:, 1:] == own[:, :1]  # a word that stands for its beginnings counts once
+        flat = np.concatenate([own[:, 0], own[:, 1:][~repeat]])
+        n = np.concatenate([uses, np.broadcast_to(uses[:, None], repeat.shape)[~repeat]])
+        found, at = np.unique(flat, return_inverse=True)
+        counts[y, found] += np.minimum(np.bincount(at, n, minlength=len(found)).astype(np.int64), 4)
+        if y:
+            held[found] += 1
     clean, toxic = counts
     share = min(max(sum(labels), 1) / max(len(labels), 1), 0.5)
-    least = np.log(max(int((toxic > 0).sum()), 1)) + 2
-    return (toxic >= 4) & (toxic >= 0.85 * (toxic + clean)) & ((toxic - 3 * clean) * -np.log(share) >= least)
+    rate = toxic / share >= LIFT * np.maximum(clean, 0.5) / (1 - share)
+    least = np.log(max(int((held > 0).sum()), 1)) + 2
+    expected = (toxic + clean) * share
+    evidence = toxic * np.log(np.maximum(toxic, 1) / np.maximum(expected, 1e-9)) - toxic + expected  # Chernoff's bound
+    return (held >= 4) & rate & (evidence >= least)
 
 
 def train(rows: list[tuple[str, int]]) -> Tagger:
@@ -125,7 +140,7 @@ def train(rows: list[tuple[str, int]]) -> Tagger:
         ids.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for line in lines for w in line], np.int32))
         sizes.append([len(line) for line in lines])
     types: dict[str, int] = {}
-    types_of = np.array([[types.setdefault(t, len(types)) for t in token_types(w)] for w in vocabulary], np.int32).reshape(len(vocabulary), 3)
+    types_of = np.array([[types.setdefault(t, len(types)) for t in token_types(w)] for w in vocabulary], np.int32).reshape(len(vocabulary), 4)
     toxic_type = toxic_types(types_of, ids, labels, len(types))
     del types
     bad = toxic_type[types_of].any(1) if len(types_of) else np.zeros(0, bool)
@@ -136,7 +151,7 @@ def train(rows: list[tuple[str, int]]) -> Tagger:
         owned.extend([i] * len(found))
     flat, owner, n_words = np.array(at, np.int32), np.array(owned, np.int32), len(vocabulary)
     del vocabulary, at, owned
-    model = Tagger(np.zeros(BUCKETS + 1), Chain(), np.array([-4.0, 1.0, 0.0]))
+    model = Tagger(np.zeros(BUCKETS + 1), Chain(), np.array([-4.0, 1.0, 0.0, 0.0]))
     model.weights[-1] = -4.0
 
     def lay(chosen):
