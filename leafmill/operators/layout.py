@@ -128,3 +128,87 @@ def crossing_rows(fields: DataFrame, least: float = 0.65) -> DataFrame:
     on = same[0] & same[1] & same[2] & (F.col("a.pos") < F.col("b.pos")) & (F.col("a.row") != F.col("b.row")) & (geometry.vertical_overlap(F.col("a.top"), F.col("a.bottom"), F.col("b.top"), F.col("b.bottom")) >= least)
     pair = F.min(F.struct(F.col("a.pos"), F.col("b.pos").alias("pos_b"), F.col("a.field_id").alias("left"), F.col("b.field_id").alias("right"))).alias("p")
     return a.join(b, on).groupBy("a.doc_id", "a.page").agg(pair).select("doc_id", "page", F.col("p.left").alias("id_left"), F.col("p.right").alias("id_right"))
+
+
+def snapped(words: DataFrame, tolerance: float = 3.0) -> DataFrame:
+    """Words with ``top`` set to the word's before if they differ by less than ``tolerance``: that one may be set itself.
+
+    What a word gets depends on all before it on the page, so a page (a bounded group) is worked through in one call.
+    """
+    kinds = dict(words.dtypes)
+
+    def page(frame):
+        frame = frame.sort_values("pos", kind="stable")
+        tops = frame["top"].to_list()
+        for i in range(1, len(tops)):
+            if abs(tops[i] - tops[i - 1]) < tolerance:
+                tops[i] = tops[i - 1]
+        return frame.assign(top=tops)
+
+    return words.groupBy(*PAGE).applyInPandas(page, ", ".join(f"`{c}` {k}" for c, k in kinds.items()))
+
+
+def page_stream(words: DataFrame, tables: DataFrame, rules: DataFrame) -> DataFrame:
+    """Words, tables and rules of each page in one order: ``doc_id, page, n, kind, ...`` (kind: rule, table or word).
+
+    ``tables(doc_id, page, table_no, top, bottom, content)``, ``rules(doc_id, page, rule_no, top)``. All stand by their top;
+    of equal tops rules come first, and a table before the first word that reaches below it.
+    """
+    t, w = tables.alias("t"), words.alias("w")
+    below = (F.col("t.doc_id") == F.col("w.doc_id")) & (F.col("t.page") == F.col("w.page")) & (F.col("w.bottom") > F.col("t.bottom"))
+    placed = t.join(w, below, "left").groupBy("t.doc_id", "t.page", "t.table_no", "t.top", "t.bottom", "t.content").agg(F.min("w.pos").alias("before"))
+    late = F.lit(2**31 - 1)
+    each = words.select(*PAGE, F.lit("word").alias("kind"), "top", "bottom", F.lit(1).alias("a"), F.col("pos").alias("b"), F.lit(1).alias("c"), "pos", "text", "size", "fontname", "x0", F.lit(None).cast("string").alias("content"))
+    none = lambda kind: F.lit(None).cast(kind)
+    as_table = placed.select(*PAGE, F.lit("table").alias("kind"), "top", "bottom", F.lit(1).alias("a"), F.coalesce("before", late).alias("b"), F.lit(0).alias("c"), F.col("table_no").alias("pos"), none("string").alias("text"), none("double").alias("size"), none("string").alias("fontname"), none("double").alias("x0"), "content")
+    as_rule = rules.select(*PAGE, F.lit("rule").alias("kind"), "top", F.col("top").alias("bottom"), F.lit(0).alias("a"), F.col("rule_no").alias("b"), F.lit(0).alias("c"), F.col("rule_no").alias("pos"), none("string").alias("text"), none("double").alias("size"), none("string").alias("fontname"), none("double").alias("x0"), none("string").alias("content"))
+    order = Window.partitionBy(*PAGE).orderBy("top", "a", "b", "c", "bottom", "pos")
+    return each.unionByName(as_table).unionByName(as_rule).withColumn("n", F.row_number().over(order)).drop("a", "b", "c")
+
+
+def flowing_blocks(stream: DataFrame, modes: DataFrame, y_tolerance: float = 5.0) -> DataFrame:
+    """Headings, paragraphs, tables and rules of ``page_stream`` as they are written: ``doc_id, page, block_no, kind, markdown``.
+
+    A word opens a block on a new line (by its top against the last word's top or table's bottom), after a table, where
+    headings and other words meet, and after a rule that was written while a paragraph was open. A rule is written once
+    a rule is reached whose last line lies at or below it; it ends a paragraph, but comes before a heading that is open.
+    """
+    own = Window.partitionBy(*PAGE)
+    before = own.orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    w = stream.join(modes, PAGE).withColumn("level", F.when(F.col("kind") == "word", text.heading_level(F.col("size"), F.col("body_size"))))
+    w = w.withColumn("last_y", F.last(F.when(F.col("kind") == "word", F.col("top")).when(F.col("kind") == "table", F.col("bottom")), True).over(before))
+    # Rules are written at the first rule that is reached with a last line at or below theirs.
+    r = w.where("kind = 'rule'").select(*PAGE, "n", "top", "last_y")
+    a, b = r.alias("a"), r.alias("b")
+    met = (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.page") == F.col("b.page")) & (F.col("b.last_y") >= F.col("a.top"))
+    written = a.join(b, met).groupBy("a.doc_id", "a.page", "a.n").agg(F.min("b.n").alias("at")).groupBy("doc_id", "page", "at").agg(F.count("*").cast("int").alias("rules"))
+    w = w.join(written.withColumnRenamed("at", "n"), [*PAGE, "n"], "left")
+    heading, word = F.col("level").isNotNull(), F.col("kind") == "word"
+    # The word before, if no table stands between; whether a rule was written since.
+    prev = F.last(F.when(word, F.struct("n", heading.alias("heading"))).when(F.col("kind") == "table", F.struct(F.lit(-1).alias("n"), F.lit(False).alias("heading"))), True).over(before)
+    ruled = F.last(F.when(F.col("rules").isNotNull(), F.col("n")), True).over(before)
+    w = w.withColumn("prev", prev).withColumn("ruled", ruled)
+    new_line = F.col("last_y").isNotNull() & (F.abs(F.col("top") - F.col("last_y")) > y_tolerance)
+    opens = F.col("prev").isNull() | (F.col("prev.n") < 0) | new_line | (F.col("prev.heading") != heading) | (~F.col("prev.heading") & F.coalesce(F.col("ruled") > F.col("prev.n"), F.lit(False)))
+    # Where what is open is written: a heading waits for the next word or table, a paragraph goes before what follows.
+    after = own.orderBy("n").rowsBetween(1, Window.unboundedFollowing)
+    flush = F.coalesce(F.first(F.when(F.col("kind") != "rule", F.col("n")), True).over(after) - F.lit(0.5), F.lit(1e9))
+    w = w.withColumn("new_line", new_line).withColumn("block", F.sum((word & opens).cast("int")).over(own.orderBy("n"))).withColumn("due", F.when(heading, flush).otherwise(F.col("n").cast("double")))
+    mono = F.lower("fontname").contains("mono")
+    mark = F.when(F.col("new_line") & ~heading, F.concat(F.repeat(F.lit("&nbsp;"), 3 * text.indent_level(F.col("x0"), F.col("base_left"))), F.lit(" "))).otherwise(F.lit(""))
+    shown = F.concat(mark, F.when(mono, F.concat(F.lit("`"), "text", F.lit("`"))).otherwise(text.formatted(F.col("text"), F.col("fontname"))))
+    parts = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", c))), lambda s: s[c]), " ")
+    g = w.where(word).withColumn("shown", shown).groupBy(*PAGE, "block").agg(F.min_by("level", "n").alias("level"), F.bool_and(mono).alias("mono"), parts("shown").alias("shown"), parts("text").alias("plain"), F.max("due").alias("due"))
+    body = F.when(F.col("mono"), F.concat(F.lit("```\n"), "plain", F.lit("\n```\n\n"))).otherwise(F.concat("shown", F.lit("\n\n")))
+    lead = F.when(F.col("level").isNotNull(), F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "))).otherwise(F.lit(""))
+    blocks_ = g.select(*PAGE, "due", F.when(F.col("level").isNotNull(), "heading").otherwise("paragraph").alias("kind"), F.concat(lead, body).alias("markdown"))
+    tables = w.where("kind = 'table'").select(*PAGE, F.col("n").cast("double").alias("due"), F.lit("table").alias("kind"), F.col("content").alias("markdown"))
+    lines = w.where("rules is not null").select(*PAGE, F.col("n").cast("double").alias("due"), F.lit("rule").alias("kind"), F.repeat(F.lit("\n---\n\n"), F.col("rules")).alias("markdown"))
+    out = blocks_.unionByName(tables).unionByName(lines)
+    return out.select(*PAGE, (F.row_number().over(own.orderBy("due")) - 1).alias("block_no"), "kind", "markdown")
+
+
+def page_texts(blocks_: DataFrame) -> DataFrame:
+    """Blocks joined in order, with e-mail addresses linked and marks that meet taken out: ``doc_id, page, text``."""
+    rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_no", "markdown"))), lambda b: b["markdown"]), "")
+    return blocks_.groupBy(*PAGE).agg(rows.alias("t")).select(*PAGE, text.drop_redundant_marks(text.link_emails(F.col("t"))).alias("text"))

@@ -86,3 +86,46 @@ def fuzzy_windows(needles: DataFrame, texts: DataFrame, most: int = 3) -> DataFr
     window, wanted = F.array_join(F.slice("words", F.col("start") + 1, F.col("m")), " "), F.array_join("nw", " ")
     found = found.withColumn("dist", F.levenshtein(window, wanted, most)).where("dist >= 0")
     return found.groupBy("item_id", "doc_id").agg(F.min(F.struct("dist", "start")).alias("b")).select("item_id", "doc_id", "b.start", "b.dist")
+
+
+def uri_rects(raw: DataFrame) -> DataFrame:
+    """``doc_id, uri, rect``: the n-th ``(http...)`` of a PDF's text goes with its n-th ``/Rect [...]``, a repeated one with its last.
+
+    ``raw(doc_id, text)``. Pairs end with the shorter of the two lists.
+    """
+    uris = F.regexp_extract_all("text", F.lit(r"\((https?://[^\s)]+)\)"), F.lit(1))
+    rects = F.transform(F.regexp_extract_all("text", F.lit(r"/Rect \[([^\]]*)\]"), F.lit(1)), lambda r: F.transform(F.filter(F.split(r, r"\s+"), lambda x: x != ""), lambda x: x.try_cast("double")))
+    pairs = F.slice(F.arrays_zip(uris.alias("uri"), rects.alias("rect")), F.lit(1), F.least(F.size(uris), F.size(rects)))
+    each = raw.where(F.least(F.size(uris), F.size(rects)) > 0).select("doc_id", F.posexplode(pairs).alias("n", "p"))
+    return each.groupBy("doc_id", F.col("p.uri").alias("uri")).agg(F.max_by("p.rect", "n").alias("rect"))
+
+
+def find_boxes(content: DataFrame, boxes: DataFrame, needles: DataFrame, mode: str = "fuzzy", most: int = 3) -> DataFrame:
+    """Boxes of the words of a text part: ``doc_id, page, needle_id, start, pos, box_pos`` (words without a box left out).
+
+    ``content`` and ``boxes(doc_id, page, pos, text)``, ``needles(doc_id, page, needle_id, words)``; words are plain
+    already (``text.strip_markdown``). ``exact`` takes the first window that equals the needle, ``all_matches`` each of them,
+    ``fuzzy`` the first of the fewest edits, if ``most`` or fewer, with words joined to their nearest boxes.
+    """
+    keys = ["doc_id", "page"]
+    if mode not in ("fuzzy", "exact", "all_matches"):
+        raise ValueError("mode is fuzzy, exact or all_matches")
+    content = content.select(*keys, "pos", "text")
+    joined = greedy_nearest(content, boxes, keys, most) if mode == "fuzzy" else by_occurrence(content, boxes.select(*keys, "pos", "text"), keys)
+    page_words = content.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda w: w["text"]).alias("ws"))
+    j = needles.select(*keys, "needle_id", "words").join(page_words, keys)
+    m = F.size("words")
+    places = F.when((m > 0) & (F.size("ws") >= m), F.sequence(F.lit(0), F.size("ws") - m))
+    window = lambda i: F.slice("ws", i + 1, m)
+    if mode == "fuzzy":
+        wanted = F.array_join("words", " ")
+        scored = F.filter(F.transform(places, lambda i: F.struct(F.levenshtein(F.array_join(window(i), " "), wanted, most).alias("d"), i.alias("i"))), lambda x: x["d"] >= 0)
+        starts = F.slice(F.transform(F.array_sort(scored), lambda x: x["i"]), 1, 1)
+    else:
+        starts = F.filter(places, lambda i: window(i) == F.col("words"))
+        starts = starts if mode == "all_matches" else F.slice(starts, 1, 1)
+    hit = j.select(*keys, "needle_id", m.alias("m"), F.explode(starts).alias("start"))
+    order = joined.withColumn("i", F.row_number().over(Window.partitionBy(*keys).orderBy("pos")) - 1)
+    order = order.select(*keys, "i", "pos", "box_pos").where("box_pos is not null")
+    found = hit.toDF(*hit.columns).join(order.toDF("d", "p", "i", "pos", "box_pos"), (F.col("doc_id") == F.col("d")) & (F.col("page") == F.col("p")) & F.col("i").between(F.col("start"), F.col("start") + F.col("m") - 1))
+    return found.select(*keys, "needle_id", "start", "pos", "box_pos")
