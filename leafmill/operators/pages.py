@@ -120,7 +120,13 @@ def within_budget(blocks: DataFrame, keys: list[str], budget: int, overhead: int
 
 
 def lenient_json(raw: Column) -> Column:
-    """JSON text that parses: as it is, else with TeX commands' back-slashes doubled; null if neither does."""
-    fixed = F.regexp_replace(raw, r'\\(?!["\\/bfnrtu])', r"\\\\\\\\")
+    """JSON text that parses, with the back-slashes of TeX commands kept as characters; null if nothing helps.
+
+    A lone back-slash before two or more letters is a command's, not an escape. If that doesn't parse, such back-slashes
+    are doubled once more, and those that start no JSON escape too.
+    """
+    twice = r"\\\\"
+    kept = F.regexp_replace(raw, r"(?<!\\)\\(?=[A-Za-z]{2,})", twice)
+    mended = F.regexp_replace(F.regexp_replace(kept, r"\\(?=[A-Za-z]{2,})", twice), r'\\(?!["\\/bfnrt]|u[0-9a-fA-F]{4})', twice)
     ok = lambda c: F.try_parse_json(c).isNotNull()
-    return F.when(ok(raw), raw).when(ok(fixed), fixed)
+    return F.when(ok(kept), kept).when(ok(mended), mended)
