@@ -332,6 +332,30 @@ def test_passages_are_found_beside_other_holders_of_their_seeds(spark):
     assert linked == {frozenset((i, i + 1)) for i in ids}
 
 
+def test_what_cannot_reach_does_not():
+    r = random.Random(11)
+    for _ in range(3000):
+        words = [b"%d" % r.randrange(3) for _ in range(r.randint(5, 40))], [b"%d" % r.randrange(3) for _ in range(r.randint(5, 40))]
+        at = [r.randint(0, len(w) - 5) for w in words]
+        near = [passages.surroundings(passages.word_hashes(w), np.array([p])) for w, p in zip(words, at, strict=True)]
+        left = passages._reach(words[0][: at[0]][::-1], words[1][: at[1]][::-1])[0]
+        right = passages._reach(words[0][at[0] + 5 :], words[1][at[1] + 5 :])[0]
+        assert left <= passages.could_reach(int(near[0][0][0]), int(near[1][0][0]))
+        assert right <= passages.could_reach(int(near[0][1][0]), int(near[1][1][0]))
+
+
+def test_seeds_of_a_long_text_are_those_of_its_parts(monkeypatch):
+    words = [b"%d" % (i * i % 1013) for i in range(3000)]
+    at, h = passages.seeds(words)
+    w = passages.word_hashes(words)
+    k = np.zeros(2996, np.uint64)
+    for i in range(5):
+        k = k * np.uint64(0x94D049BB133111EB) + w[i : i + 2996]
+    k ^= k >> np.uint64(32)
+    picks = sorted({min(range(i, i + 12), key=lambda j: (int(k[j]) >> 24, j)) for i in range(2996 - 11)})
+    assert [p for n, p in enumerate(picks) if not n or k[p] != k[picks[n - 1]]] == at.tolist()
+
+
 def test_chain_keeps_order_and_score():
     x, y = np.array([0, 10, 20, 5, 40]), np.array([100, 110, 121, 300, 50])
     got = passages.chain(x, y)
