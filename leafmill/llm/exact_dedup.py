@@ -11,7 +11,7 @@ from .common import ASCII_SPACE, materialise, table
 
 #: Digests in one filter shard, on average: a shard is built in one task from this many 8-byte keys.
 SHARD_KEYS = 200_000
-#: A set of digests is broadcast only below this many rows (48 bytes each); above, the texts are joined by a shuffle.
+#: A set of digests is broadcast only up to this many rows (about 64 bytes each); see ``join_groups`` for larger ones.
 BROADCAST_DIGESTS = 250_000
 
 
@@ -107,21 +107,43 @@ def normalised(text) -> F.Column:
     return F.translate(F.coalesce(text.cast("string"), F.lit("")), ASCII_SPACE, "")
 
 
+def digest(norm) -> F.Column:
+    return F.sha2(norm, 256)
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str, most: int | None = None) -> DataFrame:
+    """``rows`` left-joined to ``groups`` (one row for each ``on``), however many rows one group has.
+
+    Up to ``most`` groups (``BROADCAST_DIGESTS``) are broadcast. Beyond it only those are that have at least a
+    ``most``-th of all grouped rows, by their ``size``; there are no more than ``most`` such groups. The others have so
+    few rows each that a shuffle deals them out evenly.
+    """
+    most = BROADCAST_DIGESTS if most is None else most
+    n, total = groups.agg(F.count("*"), F.sum(size)).first()
+    if n <= most:
+        return rows.join(F.broadcast(groups), on, "left")
+    hot = F.col(size) * most >= total
+    first = rows.join(F.broadcast(groups.where(hot)), on, "left")
+    rest = rows.join(F.broadcast(groups.where(hot).select(on)), on, "left_anti").join(groups.where(~hot), on, "left")
+    return first.where(F.col(size).isNotNull()).unionByName(rest)
+
+
 def exact_groups(docs: DataFrame, in_snapshot, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Groups of rows whose texts are equal without white space; one row for each row of ``docs``.
 
     ``in_snapshot`` is a boolean column: its rows are the immutable snapshot, the others the incoming batch. The
     snapshot's filters screen the batch's digests; what passes, and what repeats within either side, goes on to
     exact buckets in which the bytes themselves are grouped. Returns ``doc_id, keep_id, group_size, kept,
-    text_sha256, n_chars``.
+    text_sha256, n_chars, variant``.
 
     A null text is empty, and empty texts are copies of each other. The row with the most code points in its
     original text, then the least ``doc_id``, stays (a null ``doc_id`` comes last). Repeated rows count each; those
-    of the ``doc_id`` that stays are all ``kept``. An empty table gives an empty result; other columns are not read.
+    of the ``doc_id`` that stays are all ``kept``. Different texts of one digest are told apart by their bytes and, in
+    the groups' names, by a second hash. An empty table gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
     norm = normalised(F.col(text_col))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_chars"), F.coalesce(in_snapshot, F.lit(False)).alias("old"), F.sha2(norm, 256).alias("sha"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_chars"), F.coalesce(in_snapshot, F.lit(False)).alias("old"), digest(norm).alias("sha"), F.xxhash64(norm).alias("variant"))
     rows = materialise(rows.withColumn("key", F.xxhash64("sha")), "digests")
 
     # Each side on its own: a row for each digest, with what repeats within the side.
@@ -135,37 +157,34 @@ def exact_groups(docs: DataFrame, in_snapshot, id_col: str = "doc_id", text_col:
 
     # Exact buckets: only texts whose digest is in doubt are read again, and grouped by their bytes.
     few = doubtful.count() <= BROADCAST_DIGESTS
-    suspects = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_chars"), norm.alias("bytes")).withColumn("sha", F.sha2("bytes", 256))
+    suspects = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_chars"), norm.alias("bytes")).withColumn("sha", digest(F.col("bytes")))
     suspects = suspects.join(F.broadcast(doubtful) if few else doubtful, "sha", "left_semi")
     best = F.min(F.struct((-F.col("n_chars")).alias("c"), F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d")))
     exact = suspects.groupBy("sha", "bytes").agg(F.count("*").alias("size"), best.alias("best"))
     exact = exact.select("sha", F.xxhash64("bytes").alias("variant"), "size", F.col("best.d").alias("keep"))
     exact = materialise(exact, "exact")
-    clash = exact.groupBy("sha").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    if clash:  # two texts of one SHA-256: never seen, and then the digest cannot name a group
-        raise RuntimeError("different texts share a SHA-256 digest")
 
-    out = rows.join(exact.select("sha", "size", "keep"), "sha", "left")
+    out = join_groups(rows, exact, ["sha", "variant"], "size")
     single = F.col("size").isNull()
-    return out.select("doc_id", F.when(single, F.col("doc_id")).otherwise(F.col("keep")).alias("keep_id"), F.coalesce("size", F.lit(1)).cast("long").alias("group_size"), F.when(single, F.lit(True)).otherwise(F.col("doc_id").eqNullSafe(F.col("keep"))).alias("kept"), F.col("sha").alias("text_sha256"), "n_chars")
+    return out.select("doc_id", "variant", F.when(single, F.col("doc_id")).otherwise(F.col("keep")).alias("keep_id"), F.coalesce("size", F.lit(1)).cast("long").alias("group_size"), F.when(single, F.lit(True)).otherwise(F.col("doc_id").eqNullSafe(F.col("keep"))).alias("kept"), F.col("sha").alias("text_sha256"), "n_chars")
 
 
 def keep_first(docs: DataFrame, in_snapshot, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with all columns, and one row of each of ``exact_groups``: the row that stays.
 
-    Of repeated rows that all might stay, the longest text, then the greatest, is kept.
+    Of repeated rows that all might stay, the longest text, then the greatest, is kept. Null texts are empty, a null
+    id stays only where its group has no other of as long a text, and an empty table gives an empty result.
     """
     groups = exact_groups(docs, in_snapshot, id_col, text_col).where("group_size > 1")
-    groups = materialise(groups.groupBy("text_sha256").agg(F.min("keep_id").alias("__keep")), "groups").withColumn("__group", F.lit(True))
-    if groups.count() <= BROADCAST_DIGESTS:
-        groups = F.broadcast(groups)
-    named = docs.withColumn("__sha", F.sha2(normalised(F.col(text_col)), 256))
-    named = named.join(groups, named["__sha"] == groups["text_sha256"], "left").drop("text_sha256")
+    groups = groups.groupBy(F.col("text_sha256").alias("__sha"), F.col("variant").alias("__variant")).agg(F.min("keep_id").alias("__keep"), F.count("*").alias("__size"))
+    groups = materialise(groups, "groups")
+    norm = normalised(F.col(text_col))
+    named = join_groups(docs.withColumn("__sha", digest(norm)).withColumn("__variant", F.xxhash64(norm)), groups, ["__sha", "__variant"], "__size")
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     text = F.coalesce(F.col(text_col), F.lit(""))
-    several = named.where(F.col("__group") & F.col(id_col).cast("long").eqNullSafe(F.col("__keep")))
-    several = several.groupBy("__sha").agg(F.max_by(whole, F.struct(F.length(text), text)).alias("__row")).select("__row.*")
-    return named.where("__group is null").select(docs.columns).unionByName(several)
+    several = named.where(F.col("__size").isNotNull() & F.col(id_col).cast("long").eqNullSafe(F.col("__keep")))
+    several = several.groupBy("__sha", "__variant").agg(F.max_by(whole, F.struct(F.length(text), text)).alias("__row")).select("__row.*")
+    return named.where("__size is null").select(docs.columns).unionByName(several)
 
 
 def default_snapshot(id_col: str = "doc_id"):

@@ -41,6 +41,25 @@ def test_exact_groups_of_odd_rows(odd):
     assert exact_dedup.keep_first(odd, exact_dedup.default_snapshot()).count() == len(by)
 
 
+@pytest.mark.parametrize("most", [250_000, 5, 0])
+def test_texts_of_one_digest_and_hot_groups_by_brute_force(spark, monkeypatch, most):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(exact_dedup, "digest", lambda norm: F.substring(F.sha2(norm, 256), 1, 1))
+    monkeypatch.setattr(exact_dedup, "BROADCAST_DIGESTS", most)
+    r = random.Random(13)
+    docs = [(i, r.choice(["same text", "same  text "]) if i % 3 == 0 else f"text {r.randrange(70)}" + " " * r.randrange(3)) for i in range(240)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    by = {}
+    for i, t in docs:
+        by.setdefault(t.replace(" ", ""), []).append((-len(t), i))
+    want = {i: (min(v)[1], len(v), i == min(v)[1]) for v in by.values() for _, i in v}
+    got = {x["doc_id"]: (x["keep_id"], x["group_size"], x["kept"]) for x in exact_dedup.exact_groups(df, exact_dedup.default_snapshot()).collect()}
+    assert got == want
+    kept = exact_dedup.keep_first(df, exact_dedup.default_snapshot()).collect()
+    assert sorted(x["doc_id"] for x in kept) == sorted(i for i, w in want.items() if w[2])
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 10, 1000, 30000])
 def test_fuse_filter_has_no_false_negatives(n):
     keys = np.random.RandomState(n).randint(0, 1 << 62, n).astype(np.uint64)
