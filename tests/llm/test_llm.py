@@ -304,6 +304,68 @@ def test_packing_places_everything_once(spark):
         assert at <= size and size == min(s for s in packing.SIZES if s >= at)
 
 
+def least_cost(items, price):
+    """Least cost of bins for the items, over all their partitions."""
+    best = float("inf")
+
+    def go(i, bins):
+        nonlocal best
+        if i == len(items):
+            best = min(best, sum(price(min(s for s in packing.SIZES if s >= b)) for b in bins))
+            return
+        for k in range(len(bins)):
+            if bins[k] + items[i] <= packing.SIZES[-1]:
+                go(i + 1, [*bins[:k], bins[k] + items[i], *bins[k + 1 :]])
+        go(i + 1, [*bins, items[i]])
+
+    go(0, [])
+    return best
+
+
+def plan_cost(items):
+    from collections import Counter
+
+    return sum(n * packing.cost(size) for _, n, _, size in packing.plan(Counter(items))[1])
+
+
+def test_plan_against_the_least_cost():
+    r, ratios = random.Random(17), []
+    for _ in range(60):
+        top = r.choice([300, 700, 2000, 8192])
+        items = [r.randint(1, top) for _ in range(r.randint(1, 7))]
+        ratios.append(plan_cost(items) / least_cost(items, packing.cost))
+    print("plan / least cost: worst", max(ratios), "mean", sum(ratios) / len(ratios))
+    assert min(ratios) > 1 - 1e-9 and max(ratios) < 2 and sum(ratios) / len(ratios) < 1.2
+
+
+def test_plan_at_scale_against_a_lower_bound():
+    """No bin costs less a token than the cheapest size that is full."""
+    r = random.Random(18)
+    for top in (400, 3000, 8192):
+        items = [min(top, int(r.paretovariate(1.1) * 60)) for _ in range(20000)]
+        bound = sum(items) * min(packing.cost(s) / s for s in packing.SIZES)
+        print("plan / bound", top, plan_cost(items) / bound)
+        assert 1 <= plan_cost(items) / bound < 1.2
+
+
+def test_licence_places_against_all_positions():
+    """Every window of a text is aligned: a template is found just where one covers enough of it."""
+    r = random.Random(23)
+    names = ["apache-2.0", "mit", "gpl-3.0"]
+    scanner = licenses.Scanner({n: licenses.TEMPLATES[n] for n in names}, 0.8)
+    for rate in (0.0, 0.05, 0.1, 0.15, 0.4, 0.5):
+        for name in names:
+            template = licenses.words_of(licenses.TEMPLATES[name])
+            n = len(template)
+            worn = [w if r.random() >= rate else b"edit%d" % r.randrange(999) for w in template]
+            words = [b"w%d" % r.randrange(300) for _ in range(60)] + worn + [b"w%d" % r.randrange(300) for _ in range(60)]
+            got = [f for f in scanner.scan(b" ".join(words).decode()) if f[0] == name]
+            share = max(len(licenses.patience(words[a : a + n + 2], template)) / n for a in range(len(words) - n + 1))
+            assert bool(got) == (share >= 0.8), (name, rate, share)
+            if got:
+                assert len(got) == 1 and got[0][1] <= share + 0.02 and 58 <= got[0][2] <= 70 and got[0][3] <= 60 + n + 2
+
+
 def test_licences():
     s = licenses.Scanner(licenses.TEMPLATES, 0.8)
     text = "Some words. Released under the MIT License. More.\nLicensed under the Apache License, Version 2.0. end. Released under the MIT Licence."
