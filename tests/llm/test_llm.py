@@ -413,6 +413,71 @@ def test_passages_are_found_beside_other_holders_of_their_seeds(spark):
     assert linked == {frozenset((i, i + 1)) for i in ids}
 
 
+@pytest.mark.parametrize("block", [4096, 2])
+def test_passages_of_pairs_between_other_holders_are_found(spark, monkeypatch, block):
+    """A pair all of whose seeds first belong to another text, with one more between the two in order of text hashes."""
+    monkeypatch.setattr(passages, "BLOCK", block)
+    r = random.Random(22)
+    words = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    signed = lambda t: (xxhash.xxh64_intdigest(t, 42) + 2**63) % 2**64
+    docs, want = [], set()
+    for _ in range(6):
+        shared = words(60)
+        low = high = 0
+        while high - low < 2**62:
+            pair = [" ".join(words(80) + shared + words(80)) for _ in range(2)]
+            low, high = sorted(map(signed, pair))
+        want.add(frozenset((len(docs), len(docs) + 1)))
+        docs += pair
+        for a, b in ((0, 30), (30, 60), (15, 45)):
+            for least, most in ((0, low), (low, high)):
+                while not least < signed(text := " ".join(words(80) + shared[a:b] + words(80))) < most:
+                    pass
+                docs.append(text)
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    linked = {frozenset((x["doc_id"], x["source_id"])) for x in passages.shared_passages(df).collect()}
+    assert linked == want
+
+
+def test_passages_link_all_pairs_over_classes_by_brute_force(spark):
+    """Worn copies of one passage: every pair of texts that its whole chain links is in one class, and no other."""
+    r = random.Random(23)
+    words = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    shared, docs = words(90), []
+    for _ in range(40):
+        docs.append(words(30) + [w if r.random() > 0.12 else words(1)[0] for w in shared] + words(30))
+    df = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    found = {(x["doc_id"], x["source_id"]) for x in passages.shared_passages(df).collect()}
+    texts = [[w.encode() for w in d] for d in docs]
+    place = [dict(zip(h.tolist(), at.tolist(), strict=True)) for at, h in map(passages.seeds, texts)]
+    root = list(range(40))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in found:
+        root[top(a)] = top(b)
+    checked = 0
+    for i in range(40):
+        for j in range(i):
+            both = sorted(place[i].keys() & place[j].keys())
+            if both:
+                for links in passages.chain(np.array([place[i][h] for h in both]), np.array([place[j][h] for h in both])):
+                    x0, x1, y0, y1, n = passages.align(texts[i], texts[j], links)
+                    if min(x1 - x0, y1 - y0) >= 50 and n >= 0.8 * max(x1 - x0, y1 - y0):
+                        checked += 1
+                        assert top(i) == top(j)
+    assert checked > 20
+
+
+def test_reach_of_many_is_that_of_each():
+    r = np.random.default_rng(5)
+    a, b = (sum(r.choice([0, 1, 15], 4000, p=[0.6, 0.38, 0.02]).astype(np.int64) << (4 * i) for i in range(passages.NEAR)) for _ in range(2))
+    assert passages.could_reach_all(a, b).tolist() == [passages.could_reach(int(x), int(y)) for x, y in zip(a, b, strict=True)]
+
+
 def test_what_cannot_reach_does_not():
     r = random.Random(11)
     for _ in range(3000):
