@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,50 +19,126 @@ def by_occurrence(content: DataFrame, boxes: DataFrame, keys: list[str]) -> Data
     return number(content).join(number(boxes).withColumnRenamed("pos", "box_pos"), [*keys, "text", "k"], "left").drop("k")
 
 
+@lru_cache(1 << 18)
+def _edits(a: str, b: str, most: int) -> int:
+    """Edits between two words; more than ``most`` if their lengths tell so."""
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+_PACKED = pa.schema([("step", pa.int32()), ("text", pa.string())])
+
+
+def _pack(n_keys: int):
+    """Rows ``(keys, pos, text)`` -> one row for each run of a key, its words compressed."""
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            new = np.zeros(b.num_rows - 1, bool)
+            for k in range(n_keys):
+                v = b.column(k).to_numpy(zero_copy_only=False)
+                new |= v[1:] != v[:-1]
+            cut = np.append(0, np.flatnonzero(new) + 1)
+            pos, text, bodies = b.column(n_keys).to_numpy(), b.column(n_keys + 1), []
+            for i, j in zip(cut.tolist(), np.append(cut[1:], b.num_rows).tolist(), strict=True):
+                words = pa.RecordBatch.from_arrays([pa.array(np.diff(pos[i:j], prepend=np.int32(0))), text.slice(i, j - i)], schema=_PACKED)
+                raw = words.serialize()
+                bodies.append((raw.size, pa.compress(raw, "zstd", asbytes=True)))
+            sizes = pa.array([n for n, _ in bodies], pa.int32())
+            yield pa.RecordBatch.from_arrays([*[b.column(k).take(pa.array(cut)) for k in range(n_keys)], sizes, pa.array([x for _, x in bodies], pa.binary())], [*b.schema.names[:n_keys], "bytes", "body"])
+
+    return run
+
+
+def _nearest(words: list[str], boxes: list[tuple[int, str]], most: int, equal: bool) -> list[int | None]:
+    """The box of each word of a page: its k-th place takes its k-th box, then what is left over the nearest left over."""
+    places: dict[str, list[int]] = {}
+    for p, t in boxes:
+        if t is not None:
+            places.setdefault(t, []).append(p)
+    spare = {t: iter(ps) for t, ps in places.items()}
+    got = [next(spare[t], None) if equal and t in spare else None for t in words]
+    left = {t: rest for t, ps in spare.items() if (rest := list(ps))}
+    for i, b in enumerate(got):
+        if b is None and (t := words[i]) is not None and left:
+            best, word, least = most + 1, None, 0 if t in left else 1
+            for w in left:
+                if (d := _edits(t, w, most)) < best:
+                    best, word = d, w
+                    if d == least:
+                        break
+            if word is not None:
+                got[i] = left[word].pop(0)
+                if not left[word]:
+                    del left[word]
+    return got
+
+
 def greedy_nearest(content: DataFrame, boxes: DataFrame, keys: list[str], most: int = 3) -> DataFrame:
     """``by_occurrence``, then each word left over, in order, takes the nearest box left over within ``most`` edits.
 
     A word's choice depends on what earlier ones took, so a page is worked through in one call; pages are bounded.
-    Of equally near words the one whose first box came first wins. Adds ``box_pos`` (null: none).
+    Of equally near words the one whose first box came first wins. Adds ``box_pos`` (null: none). Each side travels once, in
+    compressed runs of a page's words. Null words, and words of null keys, have no equal ones.
     """
-    boxes = boxes.select(*[F.col(c).alias(c) for c in (*keys, "pos", "text")])  # both sides may come from one frame
-    matched = by_occurrence(content, boxes, keys)
     kinds = dict(content.dtypes)
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", pos int, text string, box_pos int"
-
-    def near(a: str, b: str) -> int:
-        if abs(len(a) - len(b)) > most:
-            return most + 1
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        return row[-1]
-
-    def page(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        taken = set(left["box_pos"].dropna().astype(int))
-        spare: dict[str, list[int]] = {}
-        for p, t in zip(right.sort_values("pos")["pos"], right.sort_values("pos")["text"], strict=True):
-            spare.setdefault(t, [])
-            if p not in taken:
-                spare[t].append(int(p))
-        left = left.sort_values("pos")
-        out = []
-        for p, t, b in zip(left["pos"], left["text"], left["box_pos"], strict=True):
-            if pd.isna(b):
-                best, word = most + 1, None
-                for w, places in spare.items():
-                    if places and (d := near(t, w)) < best:
-                        best, word = d, w
-                b = spare[word].pop(0) if word is not None else None
-            out.append((*key, int(p), t, None if b is None or pd.isna(b) else int(b)))
-        got = pd.DataFrame(out, columns=[*keys, "pos", "text", "box_pos"])
-        return got.astype({"box_pos": "Int32"})
-
-    again = boxes.select(*[F.col(c).alias(c) for c in (*keys, "pos", "text")])
-    matched = matched.select(*[F.col(c).alias(c) for c in (*keys, "pos", "text", "box_pos")])
-    return matched.groupBy(*keys).cogroup(again.groupBy(*keys)).applyInPandas(page, schema)
+    of = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+
+    def side(df: DataFrame, n: int) -> DataFrame:
+        df = df.select(*[F.col(k).cast(kinds[k]).alias(k) for k in keys], F.col("pos").cast("int").alias("pos"), F.col("text").alias("text"))
+        return df.mapInArrow(_pack(len(keys)), f"{of}, bytes int, body binary").withColumn("side", F.lit(n))
+
+    def pages(batches):
+        key, held, parts = None, ([], []), []
+
+        def words(bodies):
+            read = [pa.ipc.read_record_batch(pa.py_buffer(body), _PACKED) for body in bodies]
+            pos = np.concatenate([np.cumsum(r.column(0).to_numpy(), dtype=np.int32) for r in read]) if read else np.zeros(0, np.int32)
+            text = pa.chunked_array([r.column(1) for r in read], pa.string()).combine_chunks()
+            if (pos[1:] < pos[:-1]).any():
+                order = np.argsort(pos, kind="stable")
+                pos, text = pos[order], text.take(pa.array(order))
+            return pos, text
+
+        def solve():
+            if not held[0]:
+                return
+            pos, text = words(held[0])
+            at, other = words(held[1])
+            got = _nearest(text.to_pylist(), list(zip(at.tolist(), other.to_pylist(), strict=True)), most, None not in key)
+            parts.append((key, pos, text, pa.array(got, pa.int32())))
+
+        def flush():
+            n = [len(p[1]) for p in parts]
+            columns = [pa.array([p[0][k] for p in parts], key_types[k]).take(pa.array(np.repeat(np.arange(len(parts)), n))) for k in range(len(keys))]
+            columns += [pa.array(np.concatenate([p[1] for p in parts])), pa.chunked_array([p[2] for p in parts], pa.string()).combine_chunks(), pa.chunked_array([p[3] for p in parts], pa.int32()).combine_chunks()]
+            parts.clear()
+            return pa.RecordBatch.from_arrays(columns, [*keys, "pos", "text", "box_pos"])
+
+        for b in batches:
+            key_types = [b.schema.field(k).type for k in range(len(keys))]
+            for *now, size, body, which in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if now != key:
+                    solve()
+                    key, held = now, ([], [])
+                    if len(parts) >= 32:
+                        yield flush()
+                held[which].append(pa.decompress(body, size, "zstd", asbytes=True))
+        solve()
+        if parts:
+            yield flush()
+
+    both = side(content, 0).unionByName(side(boxes, 1))
+    both = both.repartition(*keys).sortWithinPartitions(*keys, "side")
+    return both.mapInArrow(pages, f"{of}, pos int, text string, box_pos int")
 
 
 def windows(texts: DataFrame, words_col: str, needle_col: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Cases worked out by hand, and plain models of what the SQL can't say."""
 
+import random
 import re
 
 import pytest
@@ -119,6 +120,34 @@ def test_greedy_takes_the_nearest_left(spark):
     assert got == {0: 1, 1: 0, 2: None}
 
 
+def test_greedy_as_a_plain_walk_and_with_a_shuffle_for_each_side(spark):
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("ab") for _ in range(r.randint(1, 4)))
+    sides = [[(d, p, i, word()) for d in range(3) for p in range(1, 5) for i in range(r.randint(0, 25))] for _ in range(2)]
+    kind = "doc_id long, page int, pos int, text string"
+    frames = [spark.createDataFrame(r.sample(rows, len(rows)), kind) for rows in sides]
+    df = match.greedy_nearest(*frames, ["doc_id", "page"])
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    got = {(x["doc_id"], x["page"], x["pos"]): x["box_pos"] for x in df.collect()}
+    want = {}
+    for d in range(3):
+        for p in range(1, 5):
+            content, boxes = ([x[2:] for x in rows if x[:2] == (d, p)] for rows in sides)
+            free, first, late = list(boxes), [b[1] for b in boxes], []
+            for i, t in content:
+                same = [b for b in free if b[1] == t]
+                want[d, p, i] = same[0][0] if same else None
+                free = [b for b in free if not same or b != same[0]]
+                late += [] if same else [(i, t)]
+            for i, t in late:
+                near = [(n, first.index(b[1]), b) for b in free if (n := match._edits(t, b[1], 3)) <= 3]
+                if near:
+                    want[d, p, i] = min(near)[2][0]
+                    free.remove(min(near)[2])
+    assert got == want
+    assert "Window" not in plan and "Join" not in plan and plan.count("Exchange") == 1
+
+
 def test_fuzzy_windows_as_a_scan(spark):
     docs = [(1, "the quick brown fox jumps over it all".split()), (2, "a teh quick brwn fox ran".split()), (3, "nothing of that kind here".split())]
     items = [(7, "the quick brown fox".split())]
