@@ -490,6 +490,61 @@ def test_what_cannot_reach_does_not():
         assert right <= passages.could_reach(int(near[0][1][0]), int(near[1][1][0]))
 
 
+def test_far_words_tell_more_of_what_cannot_reach():
+    r, many = random.Random(12), []
+    for _ in range(2000):
+        same = [b"%d" % r.randrange(50) for _ in range(r.randint(0, 90))]
+        words = [[b"%d" % r.randrange(3) for _ in range(r.randint(0, 30))] + same + [b"%d" % r.randrange(r.choice([2, 50])) for _ in range(r.randint(5, 150))] for _ in range(2)]
+        at = [r.randint(0, len(w) - 5) if r.random() < 0.3 else len(w) - 5 - r.randint(0, min(90, len(w) - 5)) for w in words]
+        sides = [[int(v[0]) for v in passages.surroundings(passages.word_hashes(w), np.array([p]))] for w, p in zip(words, at, strict=True)]
+        left = passages._reach(words[0][: at[0]][::-1], words[1][: at[1]][::-1])[0]
+        right = passages._reach(words[0][at[0] + 5 :], words[1][at[1] + 5 :])[0]
+        x, y = sides
+        got = passages.could_reach(x[0], y[0], x[2:3], y[2:3]), passages.could_reach(x[1], y[1], x[3:], y[3:])
+        assert left <= got[0] <= passages.could_reach(x[0], y[0]) and right <= got[1] <= passages.could_reach(x[1], y[1])
+        many.append((x, y, got))
+    x, y = (np.array([m[k] for m in many]).T for k in range(2))
+    assert passages.could_reach_all(x[0], y[0], x[2:3], y[2:3]).tolist() == [m[2][0] for m in many]
+    assert passages.could_reach_all(x[1], y[1], x[3:], y[3:]).tolist() == [m[2][1] for m in many]
+
+
+def test_phrases_and_runs_too_short_for_a_passage_are_not_looked_at_in_pairs(spark, monkeypatch):
+    """Texts that share a phrase of 30 words, runs of one word of under 50 and of over 50, and a passage."""
+    seen = {}
+
+    def kept(df, label, first=passages.materialise):
+        out = first(df, label)
+        seen[label] = out.count() if label == "pairs" else 0
+        return out
+
+    monkeypatch.setattr(passages, "materialise", kept)
+    r = random.Random(24)
+    words = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    phrase, shared = words(30), words(60)
+    docs = [words(40) + phrase + words(40) for _ in range(30)]
+    docs += [words(40) + ["the"] * r.randint(20, 49) + words(40) for _ in range(30)]
+    runs = range(len(docs), len(docs) + 20)
+    docs += [words(40) + ["and"] * r.randint(60, 75) + words(40) for _ in runs]
+    docs += [words(40) + shared + words(40) for _ in range(2)]
+    df = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    linked = {(x["doc_id"], x["source_id"]) for x in passages.shared_passages(df).collect()}
+    root = list(range(len(docs)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in linked:
+        root[top(a)] = top(b)
+    want = [{i} for i in range(60)] + [set(runs), {80, 81}]
+    groups = {}
+    for i in range(len(docs)):
+        groups.setdefault(top(i), set()).add(i)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want))
+    assert seen["pairs"] <= 30  # 1326 pairs share the phrase or a short run
+
+
 def test_seeds_of_a_long_text_are_those_of_its_parts(monkeypatch):
     words = [b"%d" % (i * i % 1013) for i in range(3000)]
     at, h = passages.seeds(words)
