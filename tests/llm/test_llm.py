@@ -472,6 +472,30 @@ def test_passages_link_all_pairs_over_classes_by_brute_force(spark):
     assert checked > 20
 
 
+def test_links_of_worn_copies_grow_with_their_number(spark):
+    """Copies of one passage, worn so that several classes hold each seed: some pairs join the classes, the others add nothing."""
+    r = random.Random(25)
+    words = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    shared, docs = words(90), []
+    for _ in range(200):
+        docs.append(words(30) + [w if r.random() > 0.1 else words(1)[0] for w in shared] + words(30))
+    df = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    linked = {frozenset((x["doc_id"], x["source_id"])) for x in passages.shared_passages(df).collect()}
+    assert len({i for pair in linked for i in pair}) >= 195 and len(linked) < 8 * len(docs)
+
+
+def test_masks_hold_seeds_as_far_as_a_chain_goes():
+    r = np.random.default_rng(6)
+    text = np.sort(r.integers(0, 5, 600))
+    pos = np.concatenate([np.sort(r.choice(4000, n, replace=False)) for n in np.bincount(text)])
+    h = r.integers(-(2**63), 2**63 - 1, 600)
+    bits = passages._masks_of((h >> 20 & 0xFFFFFF).astype(np.uint32))
+    for got, bit in zip(passages._behind(text, pos, h)[:2], bits, strict=True):
+        for i in range(600):
+            far = (text == text[i]) & (pos > pos[i] + passages.LINK) & (pos <= pos[i] + passages.CHAIN)
+            assert int(got.view(np.uint64)[i]) == int(np.bitwise_or.reduce(bit[far]) if far.any() else 0)
+
+
 def test_reach_of_many_is_that_of_each():
     r = np.random.default_rng(5)
     a, b = (sum(r.choice([0, 1, 15], 4000, p=[0.6, 0.38, 0.02]).astype(np.int64) << (4 * i) for i in range(passages.NEAR)) for _ in range(2))
